@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: One module for each operator; each has QUERIES and ORACLES.
-MODULES = ("langid", "quality", "decontam", "toxicity", "mixing")
+MODULES = ("langid", "quality", "decontam", "toxicity", "warc", "mixing")
 
 
 def _all(field: str) -> dict:
