@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
+from tessera.llm.durable import apart, together
 
 WINDOW = 13
 SHARD_WORDS = 100_000
@@ -222,14 +223,14 @@ def scan(
     docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shard_words: int = SHARD_WORDS,
     text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """Rows (row, text, n_words, hits, items): the input row as a struct, merged hit word ranges, ids of items with windows found.
+    """Rows (row, text, n_words, hits, items): the input row without its text as a struct, merged hit word ranges, ids of items with windows found.
 
     Null or empty texts have no words. Items without words or with a null id are left out; equal items are all reported. An empty
     benchmark hits nothing, an empty table gives an empty result. Input columns stay inside ``row``, so their
     names cannot clash. Several rows with one id are handled each on its own.
     """
     spark = docs.sparkSession
-    found = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    found = apart(docs, text_col)
     first = True
     for auto in automata(benchmark, window, shard_words, item_col, item_text_col):
         shape = found.select("row", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(SPANS).alias("hits"), F.lit(None).cast("array<string>").alias("items")).schema
@@ -252,10 +253,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, longest: int | None = None,
     found = scan(docs, benchmark, **options).filter(~contaminated())
     if longest is not None:
         kept = found.select("row", "text", F.filter("hits", lambda x: x["stop"] - x["start"] >= longest).alias("hits"))
-        text_col = options.get("text_col", "text")
         found = kept.mapInArrow(_cutter, found.select("row", "text").schema)
-        return found.select("row.*", F.col("text").alias("_cut")).withColumn(text_col, F.col("_cut")).drop("_cut").select(*docs.columns)
-    return found.select("row.*")
+    return together(found, docs.columns, options.get("text_col", "text"))
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

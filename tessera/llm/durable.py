@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,3 +49,14 @@ def drop(df: DataFrame) -> None:
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def apart(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, text): the columns other than the text as a struct, so that their names cannot clash with an operator's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(F.struct(*(others or [F.lit(None).cast("int").alias("none")])).alias("row"), F.col(text_col).alias("text"))
+
+
+def together(found: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The columns that ``apart`` took apart, in their order."""
+    return found.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns))

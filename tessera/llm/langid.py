@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
+from tessera.llm.durable import apart
 
 #: Bytes in an n-gram, hash functions, and documents for each language that the filters are fitted on.
 GRAM, HASHES, SAMPLE_DOCS = 4, 2, 1500
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, text_col: str = "tex
     return Filters(languages, [by_lang.get(k, np.zeros(0, np.uint64)) for k in languages])
 
 
-def _teller(sent):
+def _teller(sent, keep_text: bool):
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters: Filters = sent.value
         names = np.array([*filters.languages, UND], object)
@@ -129,20 +130,21 @@ def _teller(sent):
                 others = np.sort(found, axis=1)[:, -2] if len(filters.languages) > 1 else np.zeros(n)
                 sure = np.where(lettered, np.where(top > 0, top / np.maximum(top + others, 1e-9), 1 / len(filters.languages)), 0.0)
                 cover = np.where(lettered, np.minimum(top / np.maximum(total, 1), 1.0), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(sure.clip(0, 1)), pa.array(cover)], ["row", "lang_pred", "score", "coverage"])
+            out = {"row": batch.column(0), "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": pa.array(sure.clip(0, 1)), "coverage": pa.array(cover)}
+            yield pa.RecordBatch.from_pydict(out | ({"text": batch.column(1)} if keep_text else {}))
 
     return tell
 
 
-def identify(docs: DataFrame, filters: Filters, *, text_col: str = "text") -> DataFrame:
-    """Rows (row, lang_pred, score, coverage) for every row of ``docs``: the input row as a struct, the language, and two figures from 0 to 1.
+def identify(docs: DataFrame, filters: Filters, *, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """Rows (row, lang_pred, score, coverage[, text]) for every row of ``docs``: the input row without its text as a struct, the language, and two figures from 0 to 1.
 
     ``score`` is the best language's count over its own and the runner-up's; ``coverage`` is the share of the text's n-grams that
     the best language has. Null texts, texts without a letter, and all texts if no language was learned, are ``und`` with score 0.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    shape = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("coverage")).schema
-    return rows.mapInArrow(_teller(docs.sparkSession.sparkContext.broadcast(filters)), shape)
+    rows = apart(docs, text_col)
+    shape = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("coverage"), *(["text"] if keep_text else [])).schema
+    return rows.mapInArrow(_teller(docs.sparkSession.sparkContext.broadcast(filters), keep_text), shape)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
-from tessera.llm.durable import settle
+from tessera.llm.durable import apart, settle
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -133,13 +133,13 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tup
 
 
 def judge(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """Rows (row, statistics, votes, base_failed, posterior, kept): the input row as a struct and the verdict on it.
+    """Rows (row, statistics, votes, base_failed, posterior, kept): the input row without its text as a struct and the verdict on it.
 
     A null or empty text has no words and fails the base. An empty table gives an empty result. Input columns stay inside
     ``row``. Equal rows are judged, and counted, each on its own.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    rows = apart(docs, text_col)
     shape = rows.select("row", *(F.lit(0).cast("long").alias(k) for k in STATS)).schema
     found = settle(rows.mapInArrow(_measurer, shape), "quality-stats")
     rules = votes()
