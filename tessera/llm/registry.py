@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: One module for each operator; each has QUERIES and ORACLES.
-MODULES = ("jaccard_join", "langid", "bwt_dedup", "quality", "decontam", "toxicity", "warc", "mixing")
+MODULES = ("jaccard_join", "langid", "bwt_dedup", "quality", "decontam", "toxicity", "toolcalls", "warc", "mixing")
 
 
 def _all(field: str) -> dict:
