@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
@@ -25,9 +26,9 @@ from tessera.llm.graph import components
 
 WIDTH, PERCENT = 4, 85
 CELL_BITS = 15
-LEAF = 16
+LEAF = 64
 #: Rows of a bucket, and bytes of text of a group, that one task takes at once.
-BUCKET_ROWS, GROUP_BYTES = 30_000, 24 << 20
+BUCKET_ROWS, GROUP_BYTES = 30_000, 6 << 20
 FULL = 255
 
 
@@ -45,14 +46,24 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.n
             yield np.zeros(0, np.uint64)
 
 
-def n_groups(n: int) -> int:
-    """Groups for a set of n shingles: finer for larger sets, whose counts would else hide their differences."""
-    return 32 if n < 256 else 64 if n < 1024 else 128 if n < 4096 else 256 if n < 16384 else 512
+def n_groups(n: int, percent: int = PERCENT) -> int:
+    """Groups for a set of n shingles: a power of two, enough for the bound to tell unrelated sets from partners.
+
+    Partners' counts differ by at most 2 n (100 - p) / (100 + p) in sum; those of unrelated sets by about 1.13 sqrt(n g) for g groups, with a deviation of 0.85 sqrt(n). Four to
+    five deviations apart, sets that merely share a shingle do not grow together into one closed group.
+    """
+    root = 2 * (100 - percent) / (100 + percent) / 1.13 * n**0.5 + 4
+    return 1 << max(5, int(root * root - 1).bit_length())
+
+
+def fine_groups(n: int) -> int:
+    """Groups for a set inside a closed group, where points do not travel: so many that the bound is close to the true overlap."""
+    return min(8192, max(64, 1 << (2 * n).bit_length()))
 
 
-def point(members: np.ndarray) -> np.ndarray:
+def point(members: np.ndarray, g: int | None = None) -> np.ndarray:
     """Group counts as bytes; a full byte stands for that many or more."""
-    g = n_groups(len(members))
+    g = g or n_groups(len(members))
     return np.minimum(np.bincount((textkit.mixed(members) & np.uint64(g - 1)).astype(np.int64), minlength=g), FULL).astype(np.uint8)
 
 
@@ -62,14 +73,18 @@ def signature(members: np.ndarray) -> tuple[int, int]:
 
 
 class CountTree:
-    """R-tree over count points with their set sizes."""
+    """R-tree over count points of g groups with their set sizes; points of twice as many groups are folded.
 
-    def __init__(self, points: list[np.ndarray], sizes: list[int], percent: int):
+    ``members`` are the points' numbers outside. Two folded points are no pair here: they meet in a tree of their own.
+    """
+
+    def __init__(self, points: list[np.ndarray], sizes: list[int], percent: int, members: np.ndarray | None = None):
         g = min(map(len, points))
-        folded = [p if len(p) == g else np.minimum(p.reshape(-1, g).sum(axis=0, dtype=np.int64), FULL) for p in points]
-        self.points = np.array(folded, np.int32)
+        self.points = np.array([fold(p, g) for p in points], np.uint8)
+        self.own = np.array([len(p) == g for p in points])
         self.sizes = np.array(sizes, np.int64)
         self.percent = percent
+        self.members = np.arange(len(points)) if members is None else members
         self.order = np.arange(len(points))
         #: (from, to, upper corner, smallest and largest size, left child, right child)
         self.nodes: list[tuple] = []
@@ -78,7 +93,7 @@ class CountTree:
     def _build(self, a: int, b: int) -> int:
         own = self.order[a:b]
         if b - a > LEAF:  # cut at the median of the widest coordinate, or of the sizes where those differ more
-            spread = np.ptp(self.points[own], axis=0)
+            spread = (self.points[own].max(axis=0) - self.points[own].min(axis=0)).astype(np.int64)
             by = self.sizes if np.ptp(self.sizes[own]) > 2 * spread.max() else self.points[:, spread.argmax()]
             own = self.order[a:b] = own[np.argsort(by[own], kind="stable")]
         at = len(self.nodes)
@@ -93,11 +108,11 @@ class CountTree:
     def shared(self, q: np.ndarray, corner: np.ndarray) -> np.ndarray:
         """Most shingles that a set at q can share with one below the corner (or each of several corners)."""
         least = np.minimum(q, corner)
-        return np.where(((q == FULL) & (corner == FULL)).any(axis=-1), 1 << 40, least.sum(axis=-1))
+        return np.where(((q == FULL) & (corner == FULL)).any(axis=-1), 1 << 40, least.sum(axis=-1, dtype=np.int64))
 
     def search(self, i: int, label: np.ndarray) -> Iterator[int]:
-        """Points the bound allows as partners of point i, with labels other than its own as they are then."""
-        q, n, p = self.points[i], int(self.sizes[i]), self.percent
+        """Members the bound allows as partners of the tree's point i, with labels other than its own as they are then."""
+        q, n, p, me = self.points[i], int(self.sizes[i]), self.percent, self.members[i]
         stack = [0]
         while stack:
             a, b, corner, least, most, left, right = self.nodes[stack.pop()]
@@ -106,34 +121,49 @@ class CountTree:
             if (100 + p) * min(int(self.shared(q, corner)), n, most) < p * (n + least):
                 continue
             own = self.order[a:b]
-            if (label[own] == label[i]).all():
+            if (label[self.members[own]] == label[me]).all():
                 continue
             if left >= 0:
                 stack += (right, left)
                 continue
             sizes = self.sizes[own]
             fits = (100 + p) * np.minimum(self.shared(q, self.points[own]), np.minimum(n, sizes)) >= p * (n + sizes)
-            for j in own[fits].tolist():
-                if label[j] != label[i]:
+            if not self.own[i]:
+                fits &= self.own[own]
+            for j in self.members[own[fits]].tolist():
+                if label[j] != label[me]:
                     yield j
 
 
-def forest(points: list[np.ndarray], sizes: list[int], percent: int, test=None, sides: list[int] | None = None) -> Iterator[tuple[int, int]]:
-    """Pairs that span the groups of points linked by the bound and, if given, by ``test(i, j)``."""
-    tree = CountTree(points, sizes, percent)
+def fold(p: np.ndarray, g: int) -> np.ndarray:
+    """A point with the counts of g groups."""
+    return p if len(p) == g else np.minimum(p.reshape(-1, g).sum(axis=0, dtype=np.int64), FULL)
+
+
+def forest(points: list[np.ndarray], sizes: list[int], percent: int, test=None) -> Iterator[tuple[int, int]]:
+    """Pairs that span the groups of points linked by the bound and, if given, by ``test(i, j)``.
+
+    Partners' sizes are close, so they have equally many groups, or one twice as many: a tree for each number of groups holds both.
+    """
     label = np.arange(len(points))
     held = {i: [i] for i in range(len(points))}
-    for i in range(len(points)):
-        for j in tree.search(i, label):
-            if label[j] == label[i] or (test is not None and not test(i, j)):
-                continue
-            big, low = label[i], label[j]
-            if len(held[big]) < len(held[low]):
-                big, low = low, big
-            moved = held.pop(low)
-            label[moved] = big
-            held[big] += moved
-            yield i, j
+    groups = np.array([len(p) for p in points])
+    for g in np.unique(groups):
+        members = np.flatnonzero((groups == g) | (groups == 2 * g))
+        if len(members) < 2:
+            continue
+        tree = CountTree([points[i] for i in members], [sizes[i] for i in members], percent, members)
+        for at, i in enumerate(members.tolist()):
+            for j in tree.search(at, label):
+                if label[j] == label[i] or (test is not None and not test(i, j)):
+                    continue
+                big, low = label[i], label[j]
+                if len(held[big]) < len(held[low]):
+                    big, low = low, big
+                moved = held.pop(low)
+                label[moved] = big
+                held[big] += moved
+                yield i, j
 
 
 def _set_maker(width: int, percent: int, sent):
@@ -148,7 +178,7 @@ def _set_maker(width: int, percent: int, sent):
                 n = len(members)
                 ordered = np.sort((place[(members >> shift).astype(np.int64)] << shift) | (members & low))
                 keys = ordered[: n - -(-percent * n // 100) + 1] if n else ordered
-                out.append((n, *signature(members), keys.view(np.int64), point(members).tobytes() if n else b""))
+                out.append((n, *signature(members), keys.view(np.int64), point(members, n_groups(n, percent)).tobytes() if n else b""))
             n, one, two, keys, points = zip(*out, strict=True)
             bounds = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -188,8 +218,7 @@ def _bucket_worker(percent: int):
             if 100 * min(x, y) < percent * max(x, y):
                 return
             g = min(len(a), len(b))
-            a, b = (p if len(p) == g else np.minimum(p.reshape(-1, g).sum(axis=0, dtype=np.int64), FULL) for p in (a, b))
-            least = np.minimum(a, b)
+            least = np.minimum(fold(a, g), fold(b, g))
             if least.max() < FULL and (100 + percent) * min(int(least.sum(dtype=np.int64)), x, y) < percent * (x + y):
                 return
             yield rows[0][0], rows[1][0]
@@ -219,7 +248,7 @@ def _group_worker(width: int, percent: int):
             both = len(np.intersect1d(members[i], members[j], assume_unique=True))
             return 100 * both >= percent * (len(members[i]) + len(members[j]) - both)
 
-        for i, j in forest([point(m) for m in members], [len(m) for m in members], percent, linked):
+        for i, j in forest([point(m, fine_groups(len(m))) for m in members], [len(m) for m in members], percent, linked):
             yield ids[i], ids[j]
 
     return work
@@ -248,8 +277,8 @@ def jaccard_join(
     classes = sets.filter("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("point").alias("point"))
     classes = settle(classes.withColumnRenamed("two", "cid"), "jaccard-classes")
     spots = classes.filter("rep IS NOT NULL").select(F.explode("keys").alias("key"), "cid")
-    shared = spots.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low <> high").select(F.col("key").alias("k"))
-    shared = spots.join(shared.hint("shuffle_merge"), F.col("key") == F.col("k")).select("key", "cid")
+    by_key = W.partitionBy("key").orderBy("cid")
+    shared = spots.withColumn("alone", F.lag("cid").over(by_key).isNull() & F.lead("cid").over(by_key).isNull()).filter("NOT alone").select("key", "cid")
     points = classes.select(F.col("cid").alias("c"), "n", "point")
     rows = shared.join(points.hint("shuffle_merge"), F.col("cid") == F.col("c")).select("key", "cid", "n", "point")
     near = within_groups(rows, _bucket_worker(percent), limit=bucket_rows, order="n")
@@ -270,6 +299,14 @@ def jaccard_join(
     )
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id. Rows with null ids stay unless their set has a row with an id; of rows equal in id and text one stays."""
+    found = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
+    keep = found.filter("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    rows = docs.join(keep.hint("shuffle_merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep"))).drop("_keep")
+    return rows.dropDuplicates([id_col, text_col])
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
