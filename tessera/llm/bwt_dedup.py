@@ -327,7 +327,7 @@ def _keeper(keep: bool):
                 n_spans.append(spans)
                 digests.append(hashlib.sha256(body).hexdigest())
                 kept.append(body.decode("utf-8", "ignore") if keep else None)
-            out = {"row": batch.column(0), "text": pa.array(kept, pa.string()), "n_bytes": pa.array(n_bytes), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+            out = {"row": batch.column(0), "text": pa.array(kept, pa.string(), mask=np.asarray(batch.column(1).is_null())), "n_bytes": pa.array(n_bytes), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
             yield pa.RecordBatch.from_pydict(out)
 
     return work
