@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 # --- sorted sets (key, member, score): ordered by score, then by the member's bytes ---
 
-_RANKED = W.partitionBy("key").orderBy("score", "member")
+
+def _ranked():
+    return W.partitionBy("key").orderBy("score", "member")
 
 
 def zset_rank(z: DataFrame) -> DataFrame:
     """(key, member, score, rank, rev_rank), ranks from 0."""
-    return z.withColumn("rank", (F.row_number().over(_RANKED) - 1).cast("long")).withColumn("rev_rank", (F.count("*").over(W.partitionBy("key")) - 1 - F.col("rank")).cast("long"))
+    return z.withColumn("rank", (F.row_number().over(_ranked()) - 1).cast("long")).withColumn("rev_rank", (F.count("*").over(W.partitionBy("key")) - 1 - F.col("rank")).cast("long"))
 
 
 def zset_by_rank(z: DataFrame, start: int, stop: int) -> DataFrame:
@@ -70,11 +72,13 @@ def zset_combine(z: DataFrame, keys: list[str], how: str = "union", weight: dict
 
 # --- lists (key, pos, elem) ---
 
-_AT = W.partitionBy("key").orderBy("pos")
+
+def _at():
+    return W.partitionBy("key").orderBy("pos")
 
 
 def list_renumber(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("pos", (F.row_number().over(_AT) - 1).cast("long"))
+    return rows.withColumn("pos", (F.row_number().over(_at()) - 1).cast("long"))
 
 
 def _sized(rows: DataFrame) -> DataFrame:

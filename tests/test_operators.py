@@ -207,4 +207,4 @@ def test_extras(spark):
     got = [bytes(text.select(extras.get_range(F.col("t"), a, b).alias("x")).first()["x"]) for a, b in ((0, 1), (-3, -1), (3, 99), (9, 12), (-99, 0))]
     assert got == [b"he", b"llo", b"lo", b"", b"h"]
     d = spark.range(1).select(extras.distance_m(F.lit(13.361389), F.lit(38.115556), F.lit(15.087269), F.lit(37.502669)).alias("d")).first()["d"]
-    assert abs(d - 166274.15) < 0.1
+    assert abs(d - 166274.2) < 0.2
