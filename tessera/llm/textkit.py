@@ -23,7 +23,16 @@ LOWER[65:91] += 32
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _CODES = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 5
-_powers: dict[str, np.ndarray] = {}
+
+
+class _Cache(dict):
+    """Arrays that each process makes for itself: they stay behind when code is shipped by value."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_powers = _Cache()
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
