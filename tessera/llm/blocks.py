@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.durable import settle
+from tessera.llm.durable import drop, settle
 
 
 def _stream(work: Callable, limit: int, weigh: Callable, names: list[str], kinds: list[pa.DataType]):
@@ -90,4 +90,6 @@ def within_groups(rows: DataFrame, work: Callable, *, limit: int, order: str, we
         low, high = F.least("block", "_other").alias("_low"), F.greatest("block", "_other").alias("_high")
         dealt = dealt.select(*names, "block", low, high)
         pairs = pairs.union(dealt.groupBy(names[0], "_low", "_high").applyInArrow(_pair(work, names[1:]), "a long, b long"))
-    return pairs.distinct()
+    whole = settle(pairs.distinct(), "linked-pairs")
+    drop(found)
+    return whole

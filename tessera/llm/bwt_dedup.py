@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
-from tessera.llm.durable import apart, settle
+from tessera.llm.durable import apart, drop, settle
 
 LENGTH = 200
 #: Bytes that one transform covers; more under one key go the way of ``_by_window``.
@@ -303,7 +303,9 @@ def repeats(texts: DataFrame, length: int, batch_bytes: int) -> DataFrame:
     ranges = ranges.withColumnsRenamed({"key": "k", "f": "g"})
     parts = near.filter("NOT same").join(ranges.hint("shuffle_merge"), (F.col("key") == F.col("k")) & (F.col("f") == F.col("g")))
     parts = parts.select("r", (start + F.col("s")).alias("start"), (start + F.col("e") + (length - 1)).alias("stop"))
-    return whole.union(parts)
+    merged = settle(whole.union(parts).distinct(), "repeated-ranges")
+    drop(near, found)
+    return merged
 
 
 def _keeper(keep: bool):
@@ -342,7 +344,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, text_col: str = "text", keep
     """
     rows = apart(docs, text_col)
     rows = rows.withColumn("r", F.xxhash64("row", "text"))
-    found = repeats(rows.select("r", "text"), length, batch_bytes).distinct().groupBy("r").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")).withColumnRenamed("r", "q")
+    found = repeats(rows.select("r", "text"), length, batch_bytes).groupBy("r").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")).withColumnRenamed("r", "q")
     joined = rows.join(found.hint("shuffle_merge"), F.col("r") == F.col("q"), "left").select("row", "text", "ranges")
     shape = joined.select("row", "text", *(F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.lit("").alias("kept_sha256")).schema
     return joined.mapInArrow(_keeper(keep_text), shape)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textkit
 from tessera.llm.blocks import within_groups
-from tessera.llm.durable import settle
+from tessera.llm.durable import drop, settle
 from tessera.llm.graph import components
 
 WIDTH, PERCENT = 4, 85
@@ -294,9 +294,10 @@ def jaccard_join(
     named = named.join(least, F.col("group") == F.col("g"), "left").select(F.col("one").alias("o"), F.col("cid").alias("c"), F.col("n").alias("m"), F.coalesce("least", "rep").alias("component"))
     full = sets.filter("n > 0").select("id", "n", "one", "two")
     full = full.join(named.hint("shuffle_merge"), (F.col("one") == F.col("o")) & (F.col("two") == F.col("c")) & (F.col("n") == F.col("m")))
-    return full.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).union(
-        sets.filter("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    )
+    empty = sets.filter("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    result = settle(full.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).union(empty), "jaccard-result")
+    drop(sets, classes, near, links)
+    return result
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
