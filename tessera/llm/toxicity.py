@@ -1,11 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class has a model of how words are spelled: the next byte of a word given all bytes before it, up to ``order`` bytes,
-with an end mark for shorter words. A class's counts are discounted absolutely and what the discount frees backs off to the
-same spelling event counted over both classes, so an expression seen in neither, or once or twice in one, weighs nothing either way.
+Each class has a model of how words are spelled: every byte of a word, and its end, given the ``order - 1`` symbols before it in the word, whose start is a symbol too.
+A class's counts are discounted absolutely and what the discount frees backs off to shorter contexts. Their model is shared by the classes: interpolated Kneser-Ney, in
+which an event counts once for each symbol that stands before it. A whole event seen in neither class weighs nothing either way.
 A word's evidence is its log-likelihood under the toxic model less that under the ordinary one; a text's is the mean over its words of
 the evidence above ``margin``, which a few insults in a long text still move and thousands of ordinary words do not.
-Counts are taken over all labelled rows. They go to a fixed number of hashed slots, so the broadcast table has a fixed size.
+
+Counts are taken over all labelled rows. Words, events and contexts are rows of tables that grow with the corpus. Different words meet the events, and texts meet only the words
+with evidence above the margin: a broadcast bitmap of fixed size passes over the others, and the join that follows is exact.
 """
 
 from __future__ import annotations
@@ -22,92 +24,132 @@ from tessera.llm.decontam import WORD
 from tessera.llm.durable import apart, settle
 
 ORDER = 5
+#: Bytes of a run that count as one word.
+STRETCH = 24
 DISCOUNT = 2.0
 MARGIN = 2.0
 SLOT_BITS = 21
 FLOOR = 0.01
 BINS = 512
+#: Discount of the shared model; evidence is kept in whole numbers of 1 / UNIT nats, so that sums do not depend on their order.
+SHARED_DISCOUNT, UNIT = 0.75, 1 << 20
 _RANGE = (np.log(FLOOR), np.log(40.0))
 
 
-def spelling(data: np.ndarray, offsets: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Index of each text's first word, and for each order the words with an event there, its slot and its context's slot."""
-    starts, ends, first = textkit.runs(WORD[data], offsets)
-    prefix = textkit.Prefix(data, lower=True)
-    shift = np.uint64(64 - bits)
-
-    def events():
-        at, length = np.arange(len(starts)), ends - starts
-        for k in range(1, order + 1):
-            if k > 1:
-                at = at[length[at] >= k - 1]
-            s = starts[at]
-            before = prefix(s, s + k - 1) if k > 1 else np.zeros(len(at), np.uint64)
-            after = prefix(s, np.minimum(s + k, ends[at]))
-            after = np.where(length[at] >= k, after, before ^ np.uint64(0x5851F42D4C957F2D))
-            yield at, (textkit.mixed(after + np.uint64(3 * k)) >> shift).astype(np.int64), (textkit.mixed(before + np.uint64(3 * k + 1)) >> shift).astype(np.int64)
-
-    return first, events()
+def stretches(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index of each text's first stretch; of each stretch its identity, where it begins with its context and ends, how many bytes are context, and whether its word ends there.
 
-
-def _counter(order: int, bits: int):
-    """For mapInArrow over (group, text): nonzero counts by slot; group is 0 to 3, twice the fold plus the class."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, contexts, seen = np.zeros((4, 1 << bits), np.int32), np.zeros(1 << bits, np.int32), False
+    A word is one stretch, a run of more than ``STRETCH`` bytes several: text without spaces has words of its own in this way. The bytes before a later one are its context.
+    """
+    starts, ends, first = textkit.runs(WORD[data], offsets)
+    parts = -(-(ends - starts) // STRETCH)
+    base = np.concatenate([[0], np.cumsum(parts)])
+    word = np.repeat(np.arange(len(starts)), parts)
+    number = np.arange(base[-1]) - base[word]
+    lo = starts[word] + number * STRETCH
+    hi = np.minimum(lo + STRETCH, ends[word])
+    skip, closes = np.where(number > 0, order - 1, 0), hi == ends[word]
+    lo = lo - skip
+    name = textkit.mixed(textkit.Prefix(data, lower=True)(lo, hi) + (2 * skip + closes + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return base[first], name.view(np.int64), lo, hi, skip, closes
+
+
+def _vocabulary(order: int):
+    """For mapInArrow over (group, text): different stretches with their counts by group 0 to 3, twice the fold plus the class; other groups count nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in textkit.pieces(batches):
-            seen = True
-            first, events = spelling(data, offsets, order, bits)
+            first, name, lo, hi, skip, closes = stretches(data, offsets, order)
             group = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(first))
-            for at, slot, context in events:
-                contexts[slot] = np.maximum(contexts[slot], context)
-                for g in range(4):
-                    if len(own := slot[group[at] == g]):
-                        counts[g] += np.bincount(own, minlength=1 << bits).astype(np.int32)
-        if seen:
-            full = np.flatnonzero(counts.any(axis=0))
-            for part in np.array_split(full, max(1, len(full) // 50_000)):
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(contexts[part].astype(np.int64)), *(pa.array(c[part].astype(np.int64)) for c in counts)], ["slot", "context", "g0", "g1", "g2", "g3"])
-
-    return count
-
-
-def evidence(slots: np.ndarray, contexts: np.ndarray, counts: np.ndarray, discount: float, bits: int) -> np.ndarray:
-    """Log-likelihood ratio of each slot's event, toxic over ordinary; counts has a row for each class (0, 1)."""
-    size = 1 << bits
-    both = counts.sum(axis=0)
-    shared = (both + 0.1) / (np.bincount(contexts, both, minlength=size)[contexts] + 2.0)
-    logs = []
-    for own in counts:
-        total = np.bincount(contexts, own, minlength=size)[contexts]
-        freed = np.bincount(contexts, np.minimum(own, discount), minlength=size)[contexts]
-        p = (np.maximum(own - discount, 0) + freed * shared) / np.maximum(total, 1)
-        logs.append(np.log(np.where(total > 0, np.maximum(p, 1e-12), shared)))
-    table = np.zeros(size, np.float32)
-    table[slots] = logs[1] - logs[0]
-    return table
-
-
-def _measure(table: np.ndarray, data: np.ndarray, offsets: np.ndarray, order: int, margin: float, bits: int) -> np.ndarray:
-    """Mean evidence above the margin of each text's words; 0 without words."""
-    first, events = spelling(data, offsets, order, bits)
-    total = np.zeros(int(first[-1]) if len(first) else 0)
-    for at, slot, _ in events:
-        total[at] += table[slot]
-    sums = np.r_[0.0, np.cumsum(np.maximum(total - margin, 0))]
-    return (sums[first[1:]] - sums[first[:-1]]).clip(0) / np.maximum(np.diff(first), 1)
-
-
-def _scorer(sent, order: int, margin: float, bits: int):
-    """For mapInArrow over (row, text): adds the measure's logarithm."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+            names, at, place = np.unique(name, return_index=True, return_inverse=True)
+            lower = textkit.LOWER[data].tobytes()
+            words = [lower[a:b] for a, b in zip(lo[at].tolist(), hi[at].tolist(), strict=True)]
+            counts = [pa.array(np.bincount(place[group == g], minlength=len(names)).astype(np.int64)) for g in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(words, pa.binary()), pa.array(skip[at].astype(np.int32)), pa.array(closes[at]), *counts], ["name", "word", "skip", "closes", "g0", "g1", "g2", "g3"])
+
+    return run
+
+
+def _speller(order: int):
+    """For mapInArrow over (name, word, skip, closes, g0 to g3): a row for each event, with its context, and its events and contexts of 0, 1, ... symbols less than that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in textkit.pieces(batches, most=1 << 17):
+            skip, closes = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            prefix = textkit.Prefix(data)
+            row = np.repeat(np.arange(len(skip)), np.diff(offsets))
+            byte = np.arange(len(data))
+            keep = byte >= (offsets[:-1] + skip)[row]
+            whole = np.flatnonzero(closes)
+            row, at = np.concatenate([row[keep], whole]), np.concatenate([byte[keep], offsets[1:][whole]])
+            end = np.arange(len(row)) >= keep.sum()
+            opens = offsets[:-1][row]
+            depth = np.minimum(order - 1, at - opens + (skip[row] == 0))
+            grams, contexts = np.zeros((order, len(row)), np.uint64), np.zeros((order, len(row)), np.uint64)
+            for j in range(order):
+                lo = np.maximum(at - j, opens)
+                tag = (2 * (at - lo) + (at - j < opens)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                before = prefix(lo, at)
+                after = np.where(end, before ^ np.uint64(0x5851F42D4C957F2D), prefix(lo, np.minimum(at + 1, len(data))))
+                grams[j], contexts[j] = textkit.mixed(after + tag + np.uint64(1)), textkit.mixed(before + tag)
+            every, lists = np.arange(len(row)), pa.array(np.concatenate([[0], np.cumsum(depth)]).astype(np.int32))
+            shorter = np.arange(order)[None, :] < depth[:, None]
+            chains = [pa.ListArray.from_arrays(lists, pa.array(h.T[shorter].view(np.int64))) for h in (grams, contexts)]
+            own = [pa.array(h[depth, every].view(np.int64)) for h in (grams, contexts)]
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), *own, *chains, *(batch.column(i).take(taken) for i in range(4, 8))], ["name", "gram", "context", "shorter", "shorter_contexts", "g0", "g1", "g2", "g3"])
+
+    return run
+
+
+def evidence(events: DataFrame, discount: float) -> DataFrame:
+    """(gram, e0, e1): log-likelihood ratio of each event of the labelled rows, toxic over ordinary, in units of 1 / ``UNIT``; e0 of fold 0 alone, e1 of all."""
+    taught = events.filter("g0 + g1 + g2 + g3 > 0")
+    kept = ("context", "shorter", "shorter_contexts")
+    tops = settle(taught.groupBy("gram").agg(*(F.first(c).alias(c) for c in kept), *(F.sum(f"g{i}").alias(f"g{i}") for i in range(4))), "toxicity-events")
+
+    # the shared model: how many different events one symbol longer end in this one
+    longer = F.slice(F.concat("shorter", F.array("gram")), F.lit(2), F.size("shorter"))
+    steps = tops.select("gram", F.posexplode(F.arrays_zip(F.col("shorter").alias("s"), F.col("shorter_contexts").alias("c"), longer.alias("l"))).alias("level", "step"))
+    lower = steps.select("step.l", "step.s", "step.c").distinct().groupBy("s", "c").agg(F.count("*").alias("n"))
+    spread = lower.groupBy("c").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    lower = lower.join(spread.hint("shuffle_merge"), "c").select("s", "n", "total", "kinds")
+    levels = steps.select("gram", "level", F.col("step.s").alias("s")).join(lower.hint("shuffle_merge"), "s").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("level", "n", "total", "kinds"))).alias("levels"))
+    shared = F.aggregate("levels", F.lit(1 / 257), lambda p, x: (x["n"] - F.lit(SHARED_DISCOUNT) + F.lit(SHARED_DISCOUNT) * x["kinds"] * p) / x["total"])
+    found = tops.select("gram", "context", F.col("g0").alias("a0"), F.col("g1").alias("a1"), (F.col("g0") + F.col("g2")).alias("b0"), (F.col("g1") + F.col("g3")).alias("b1"))
+    names = ("a0", "a1", "b0", "b1")
+    totals = found.groupBy("context").agg(*(F.sum(c).alias(f"{c}_total") for c in names), *(F.sum(F.least(F.col(c).cast("double"), F.lit(discount))).alias(f"{c}_freed") for c in names))
+    found = found.join(totals.hint("shuffle_merge"), "context").join(levels.select("gram", shared.alias("shared")).hint("shuffle_merge"), "gram")
+
+    def log_of(c: str) -> Column:
+        p = (F.greatest(F.col(c) - F.lit(discount), F.lit(0.0)) + F.col(f"{c}_freed") * F.col("shared")) / F.greatest(F.col(f"{c}_total"), F.lit(1))
+        return F.log(F.when(F.col(f"{c}_total") > 0, F.greatest(p, F.lit(1e-12))).otherwise(F.col("shared")))
+
+    ratio = lambda c: F.when(F.col(f"{c}0") + F.col(f"{c}1") > 0, F.round((log_of(f"{c}1") - log_of(f"{c}0")) * UNIT)).otherwise(F.lit(0)).cast("long")
+    return settle(found.select("gram", ratio("a").alias("e0"), ratio("b").alias("e1")), "toxicity-evidence")
+
+
+def _finder(sent, order: int, bits: int):
+    """For mapInArrow over (row, text): the number of stretches of each text and those that may have evidence above the margin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = sent.value
         for batch, data, offsets in textkit.pieces(batches):
-            x = np.log(_measure(table, data, offsets, order, margin, bits) + FLOOR)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x)], ["row", "x"])
+            first, name, *_ = stretches(data, offsets, order)
+            hit = np.flatnonzero(marked[(name.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)])
+            hits = pa.ListArray.from_arrays(pa.array(np.searchsorted(hit, first).astype(np.int32)), pa.array(name[hit]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), hits], ["row", "n", "hits"])
 
-    return score
+    return run
+
+
+def _measured(rows: DataFrame, weights: DataFrame, weight: str, sent, order: int, bits: int) -> DataFrame:
+    """(row, x) for (row, text): logarithm of the mean evidence above the margin of each text's words; that of 0 without words."""
+    shape = rows.select("row", F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("hits")).schema
+    found = settle(rows.mapInArrow(_finder(sent, order, bits), shape).withColumn("id", F.monotonically_increasing_id()), "toxicity-hits")
+    sums = found.select("id", F.explode("hits").alias("name")).join(weights.select("name", weight).hint("shuffle_merge"), "name").groupBy(F.col("id").alias("i")).agg(F.sum(weight).alias("total"))
+    mean = F.coalesce("total", F.lit(0)) / F.lit(UNIT) / F.greatest("n", F.lit(1))
+    return found.join(sums.hint("shuffle_merge"), F.col("id") == F.col("i"), "left").select("row", F.log(mean + F.lit(FLOOR)).alias("x"))
 
 
 def calibrate(x: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> tuple[float, float]:
@@ -141,29 +183,32 @@ def score(
     taught = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), fold.alias("_fold")).filter("_fold IS NOT NULL AND text IS NOT NULL")
     # the same plan at every size: labels grow with the corpus, so they are never broadcast
     taught = settle(taught.join(known.hint("shuffle_merge"), "_id").select((F.col("_fold") * 2 + F.col("_label")).cast("long").alias("g"), "text"), "toxicity-taught")
-    grams = taught.mapInArrow(_counter(order, bits), "slot long, context long, g0 long, g1 long, g2 long, g3 long")
-    grams = grams.groupBy("slot").agg(F.max("context").alias("context"), *(F.sum(f"g{i}").alias(f"g{i}") for i in range(4))).toArrow()
-    slots, contexts, *groups = (grams.column(i).to_numpy() for i in range(6))
-    groups = np.array(groups, np.float64).reshape(4, -1)
     numbers = {r["g"]: r["count"] for r in taught.groupBy("g").count().collect()}
     ones, everyone = sum(n for g, n in numbers.items() if g % 2), sum(numbers.values())
-    final = evidence(slots, contexts, groups[:2] + groups[2:], discount, bits) if 0 < ones < everyone else None
-
-    a, b = 0.0, None
-    if final is not None and all(numbers.get(g) for g in range(4)):
-        first = spark.sparkContext.broadcast(evidence(slots, contexts, groups[:2], discount, bits))
-        measured = taught.filter("g >= 2").select("g", "text").mapInArrow(_scorer(first, order, margin, bits), "row long, x double")
+    rows = apart(docs, text_col)
+    if not 0 < ones < everyone:
+        return rows.select("row", F.lit(ones / everyone if everyone else 0.0).alias("score"))
+    shape = "name long, word binary, skip int, closes boolean, g0 long, g1 long, g2 long, g3 long"
+    words = taught.mapInArrow(_vocabulary(order), shape).union(docs.select(F.lit(-1).cast("long").alias("g"), F.col(text_col).alias("text")).mapInArrow(_vocabulary(order), shape))
+    words = settle(words.groupBy("name").agg(*(F.first(c).alias(c) for c in ("word", "skip", "closes")), *(F.sum(f"g{i}").alias(f"g{i}") for i in range(4))), "toxicity-words")
+    events = words.mapInArrow(_speller(order), "name long, gram long, context long, shorter array<long>, shorter_contexts array<long>, g0 long, g1 long, g2 long, g3 long")
+    sums = events.select("name", "gram").join(evidence(events, discount).hint("shuffle_merge"), "gram").groupBy("name").agg(F.sum("e0").alias("e0"), F.sum("e1").alias("e1"))
+    above = [F.greatest(F.col(f"e{i}") - F.lit(round(margin * UNIT)), F.lit(0)).cast("long").alias(f"w{i}") for i in range(2)]
+    weights = settle(sums.select("name", *above).filter("w0 > 0 OR w1 > 0"), "toxicity-weights")
+    slots = weights.select(F.shiftrightunsigned("name", 64 - bits).alias("slot")).distinct().toArrow().column("slot").to_numpy()
+    marked = np.zeros(1 << bits, bool)
+    marked[slots] = True
+    sent = spark.sparkContext.broadcast(marked)
+
+    if all(numbers.get(g) for g in range(4)):
+        measured = _measured(taught.filter("g >= 2").select(F.col("g").alias("row"), "text"), weights, "w0", sent, order, bits)
         place = F.least(F.greatest(F.floor((F.col("x") - _RANGE[0]) / (_RANGE[1] - _RANGE[0]) * BINS), F.lit(0)), F.lit(BINS - 1))
         bins = measured.groupBy(place.alias("bin")).agg(F.sum(F.col("row") - 2).alias("ones"), F.count("*").alias("n")).orderBy("bin").toPandas()
         x = _RANGE[0] + (bins["bin"].to_numpy(float) + 0.5) / BINS * (_RANGE[1] - _RANGE[0])
         a, b = calibrate(x, bins["ones"].to_numpy(float), (bins["n"] - bins["ones"]).to_numpy(float))
-    elif final is not None:  # too few labels to fit the curve: even odds where the mean word shows a tenth of a nat
+    else:  # too few labels to fit the curve: even odds where the mean word shows a tenth of a nat
         a, b = 2.0, -2.0 * float(np.log(0.1 + FLOOR))
-    rows = apart(docs, text_col)
-    if final is None:
-        return rows.select("row", F.lit(ones / everyone if everyone else 0.0).alias("score"))
-    shape = rows.select("row", F.lit(0.0).alias("x")).schema
-    scored = rows.mapInArrow(_scorer(spark.sparkContext.broadcast(final), order, margin, bits), shape)
+    scored = _measured(rows, weights, "w1", sent, order, bits)
     return scored.select("row", (F.lit(1.0) / (1 + F.exp(-(F.lit(a) * F.col("x") + F.lit(b))))).alias("score"))
 
 

@@ -337,6 +337,21 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs, both, F.lit(0)).count() == docs.count()
 
 
+def test_toxicity_reads_whole_words_and_unspaced_text(spark):
+    # "stupidxxxx" and "stupidable" differ after their fifth byte only; the Chinese insult stands far inside a run without spaces
+    rng = random.Random(2)
+    clean = [cases.words(rng, 30) + " stupidable" for _ in range(60)]
+    unspaced = "".join(chr(0x4E00 + rng.randint(0, 20)) for _ in range(40))
+    toxic = [cases.words(rng, 30) + " stupidxxxx" for _ in range(30)] + [unspaced + "\u9f98\u9f99\u9f9a" + unspaced for _ in range(30)]
+    clean += [unspaced + unspaced for _ in range(30)]
+    texts = toxic + clean
+    rows = [(i, t, "", "", 0, "", 0.0, 0, 0) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, int(i < len(toxic))) for i in range(len(texts))], "doc_id long, toxic int")
+    got = {r["id"]: r["score"] for r in toxicity.score(cases.frame(spark, rows), labels, (F.col("doc_id") % 4 == 0).cast("int")).select(F.col("row.doc_id").alias("id"), "score").collect()}
+    right = [(got[i] >= 0.5) == (i < len(toxic)) for i in range(len(texts))]
+    assert np.mean(right) > 0.95
+
+
 @pytest.mark.parametrize("options", [{}, {"shard_words": 500, "blocks_per_shard": 20}])
 def test_mixing(spark, options):
     rows = cases.documents()
