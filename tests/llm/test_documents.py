@@ -352,6 +352,41 @@ def test_toxicity_reads_whole_words_and_unspaced_text(spark):
     assert np.mean(right) > 0.95
 
 
+def test_toxicity_backs_off_to_continuation_counts(spark):
+    # (text, group): group 0 ordinary and 1 toxic of fold 0, 3 toxic of fold 1
+    texts = [("abcab xbc", 0), ("abd xbc xbc", 1), ("abcab ybd", 1), ("zzb", 3)]
+    rows = spark.createDataFrame([(g, t) for t, g in texts], "g long, text string")
+    words = rows.mapInArrow(toxicity._vocabulary(3), "name long, word binary, skip int, closes boolean, g0 long, g1 long, g2 long, g3 long")
+    events = words.mapInArrow(toxicity._speller(3), "name long, gram long, context long, shorter array<long>, shorter_contexts array<long>, g0 long, g1 long, g2 long, g3 long")
+    got = Counter((r["e0"], r["e1"]) for r in toxicity.evidence(events, 1.0).collect())
+
+    counts = defaultdict(lambda: [0, 0, 0, 0])
+    for t, g in texts:
+        for w in t.split():
+            x = "<" + w + ">"
+            for i in range(1, len(x)):
+                counts[x[max(0, i - 2) : i + 1]][g] += 1
+    chains = {(e[i:], e[i + 1 :]) for e in counts for i in range(len(e) - 1)}
+    after = Counter(s for _, s in chains)
+
+    def low(s):
+        same = {x: n for x, n in after.items() if x[:-1] == s[:-1] and len(x) == len(s)}
+        return (after[s] - 0.75 + 0.75 * len(same) * (low(s[1:]) if len(s) > 1 else 1 / 257)) / sum(same.values())
+
+    def ratio(e, groups):
+        if not sum(counts[e][g] for pair in groups for g in pair):
+            return 0
+        logs = []
+        for pair in groups:
+            own = {x: sum(c[g] for g in pair) for x, c in counts.items() if x[:-1] == e[:-1] and len(x) == len(e)}
+            freed, total = sum(min(n, 1.0) for n in own.values()), sum(own.values())
+            logs.append(np.log((max(own[e] - 1.0, 0) + freed * low(e[1:])) / total if total else low(e[1:])))
+        return round((logs[1] - logs[0]) * toxicity.UNIT)
+
+    want = sorted((ratio(e, [(0,), (1,)]), ratio(e, [(0, 2), (1, 3)])) for e in counts)
+    assert len(want) == sum(got.values()) and np.abs(np.array(want) - np.array(sorted(got.elements()))).max() <= 2
+
+
 @pytest.mark.parametrize("options", [{}, {"shard_words": 500, "blocks_per_shard": 20}])
 def test_mixing(spark, options):
     rows = cases.documents()
