@@ -171,6 +171,31 @@ def test_passages(spark):
         assert len(set(x[r["start"] : r["stop"]]) & set(y[r["ref_start"] : r["ref_stop"]])) >= 0.7 * len(set(x[r["start"] : r["stop"]]))
 
 
+def passage_pairs(spark, texts):
+    rows = [(i, t, "", "", 0, "", 0.0, 0, 0) for i, t in enumerate(texts)]
+    return chaining.fuzzy_passages(cases.frame(spark, rows)).collect()
+
+
+def test_passages_at_the_similarity_limit(spark):
+    rng = random.Random(5)
+    texts = []
+    for n in range(24):
+        passage = cases.words(rng, (60, 85, 150)[n % 3], 90_000).split()
+        edited = [f"e{n}x{i}" if i % (5, 6, 8)[n // 3 % 3] == 4 else w for i, w in enumerate(passage)]
+        for own in (passage, edited):
+            texts.append(" ".join([cases.words(rng, 50, 90_000), *own, cases.words(rng, 50, 90_000)]))
+    pairs = {(r["doc_id"], r["ref_doc_id"]) for r in passage_pairs(spark, texts)}
+    assert pairs == {(i + 1, i) for i in range(0, 48, 2)}
+
+
+def test_passage_of_stock_sentences(spark):
+    rng = random.Random(6)
+    stock = [cases.words(rng, 20, 90_000) for _ in range(3)]
+    fill = lambda: cases.words(rng, 60, 90_000)
+    texts = [f"{fill()} {stock[i // 2]} {fill()}" for i in range(6)] + [f"{fill()} {' '.join(stock)} {fill()}" for _ in range(2)]
+    assert [(r["doc_id"], r["ref_doc_id"], r["n_words"]) for r in passage_pairs(spark, texts)] == [(7, 6, 60)]
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(100):
