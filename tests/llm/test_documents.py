@@ -196,6 +196,15 @@ def test_passage_of_stock_sentences(spark):
     assert [(r["doc_id"], r["ref_doc_id"], r["n_words"]) for r in passage_pairs(spark, texts)] == [(7, 6, 60)]
 
 
+def test_every_copy_of_a_passage_is_found(spark):
+    rng = random.Random(7)
+    fill = lambda: cases.words(rng, 60, 90_000)
+    p, q, line = (cases.words(rng, n, 90_000) for n in (50, 50, 30))
+    texts = [f"{fill()} {p} {fill()}", f"{fill()} {p} {fill()} {p} {fill()}", f"{fill()} {q} {fill()} {q}", " ".join([fill(), line, line])]
+    got = sorted((r["doc_id"], r["ref_doc_id"], r["start"], r["stop"], r["ref_start"], r["ref_stop"]) for r in passage_pairs(spark, texts))
+    assert got == [(1, 0, 60, 110, 60, 110), (1, 0, 170, 220, 60, 110), (2, 2, 170, 220, 60, 110)]
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(100):
