@@ -205,6 +205,51 @@ def test_every_copy_of_a_passage_is_found(spark):
     assert got == [(1, 0, 60, 110, 60, 110), (1, 0, 170, 220, 60, 110), (2, 2, 170, 220, 60, 110)]
 
 
+def test_passages_whose_parts_stand_in_earlier_documents(spark):
+    """Every sentence of a passage has two earlier documents of its own; the two documents that share the passage must meet all the same, for each of its copies."""
+    rng = random.Random(11)
+    texts, wanted = [], []
+    for n in range(24):
+        parts = [cases.words(rng, rng.randint(13, 39), 90_000) for _ in range(rng.randint(4, 7))]
+        for part in parts:
+            texts += [f"{cases.words(rng, 40, 90_000)} {part} {cases.words(rng, 40, 90_000)}" for _ in range(2)]
+        words = " ".join(parts).split()
+        edited = [f"e{n}x{i}" if rng.random() < (0, 0.05, 0.1)[n % 3] else w for i, w in enumerate(words)]
+        fill = [cases.words(rng, 50, 90_000) for _ in range(5)]
+        texts += [" ".join([fill[0], *words, fill[1]]), " ".join([fill[2], *edited, fill[3], *edited, fill[4]])]
+        wanted += [(len(texts) - 1, len(texts) - 2, at, len(words)) for at in (50, 100 + len(words))]
+    covered = defaultdict(set)
+    for r in passage_pairs(spark, texts):
+        assert r["similarity"] >= 0.8 and r["n_words"] >= 40 and r["ref_doc_id"] <= r["doc_id"]
+        covered[r["doc_id"], r["ref_doc_id"]] |= set(range(r["start"], r["stop"]))
+    shares = [len(covered[doc, ref] & set(range(at, at + n))) / n for doc, ref, at, n in wanted]
+    assert sum(x > 0.9 for x in shares) >= 0.9 * len(shares)
+
+
+def test_equal_words_have_rows_whatever_else_holds_them(spark):
+    """Against brute force: each run of 50 words that a text shares with another is covered by rows, of that pair or to one document from both."""
+    rng = random.Random(12)
+    pool = [cases.words(rng, rng.randint(10, 80), 90_000).split() for _ in range(12)]
+    texts = [" ".join(w for _ in range(rng.randint(1, 4)) for w in [*rng.choice(pool), *cases.words(rng, rng.randint(0, 15), 90_000).split()]) for _ in range(60)]
+    words = [t.split() for t in texts]
+    rows = passage_pairs(spark, texts)
+    met = defaultdict(lambda: defaultdict(set))
+    for r in rows:
+        met[r["doc_id"]][r["ref_doc_id"]] |= set(range(r["start"], r["stop"]))
+        met[r["ref_doc_id"]][r["doc_id"]] |= set(range(r["ref_start"], r["ref_stop"]))
+    runs = defaultdict(set)
+    for i, w in enumerate(words):
+        for at in range(len(w) - 49):
+            runs[tuple(w[at : at + 50])].add((i, at))
+    tried = 0
+    for places in runs.values():
+        documents = sorted({i for i, _ in places})
+        for i, at in places if len(documents) > 1 else ():
+            tried += 1
+            assert sum(p in set().union(*met[i].values()) for p in range(at, at + 50)) >= 40
+    assert tried > 100
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(100):
@@ -245,6 +290,40 @@ def test_chain_scores_against_all_predecessors():
         assert len(used) == len(set(used))
 
 
+def chain_score(chain, k, cost):
+    score = float(k)
+    for (x, y), (a, b) in zip(chain, chain[1:]):
+        score += a - x if a - x == b - y < k else k - cost * (a - x + b - y - 2 * k)
+    return score
+
+
+def test_chain_scores_with_the_gap_as_shipped():
+    """The best predecessor within the longest gap, as trying all of them finds it."""
+    rng = random.Random(9)
+    for _ in range(400):
+        n = rng.choice([20, 100, 400])
+        matches = [(rng.randint(0, n), rng.randint(0, n)) for _ in range(rng.randint(1, 40))]
+        for _ in range(3):
+            a, b = rng.randint(0, n), rng.randint(0, n)
+            matches += [(a + i, b + i) for i in range(rng.randint(0, 60)) if rng.random() < 0.4]
+        for gap, cost, k in ((chaining.MAX_GAP, chaining.GAP_COST, chaining.K), (7, 0.2, 5)):
+            ms, best = sorted(set(matches)), []
+            for i, (a, b) in enumerate(ms):
+                steps = [(a - x, b - y, best[j]) for j, (x, y) in enumerate(ms[:i])]
+                best.append(max([float(k)] + [s + u if u == v and 0 < u < k else s + k - cost * (u + v - 2 * k) for u, v, s in steps if k <= u <= k + gap and k <= v <= k + gap or u == v and 0 < u < k]))
+            assert abs(chain_score(chaining.chains(matches, k, cost, gap, 0.0)[0], k, cost) - max(best)) < 1e-9
+
+
+def test_long_passages_are_aligned_in_stretches():
+    rng = random.Random(10)
+    x = [rng.randint(0, 10**9) for _ in range(5000)]
+    y = [w for w in x if rng.random() < 0.95]
+    chain = chaining.chains([(i, j) for j, w in enumerate(y) for i in [x.index(w)] if j % 2 == 0], 1, 0.0, 40, 0.0)[0]
+    cuts = [(c >> 32, c & 0xFFFFFFFF) for c in chaining.cut_points(chain, 500)]
+    assert len(cuts) >= 8
+    assert len(chaining.align_between(np.array(x, np.uint32), np.array(y, np.uint32), cuts)) == len(y)
+
+
 def stats(text):
     t = text or ""
     w, seen, dup = WORD.findall(t), set(), 0
