@@ -226,6 +226,19 @@ def test_passages_whose_parts_stand_in_earlier_documents(spark):
     assert sum(x > 0.9 for x in shares) >= 0.9 * len(shares)
 
 
+def test_common_seeds_have_the_same_leaders(spark, monkeypatch):
+    rng = random.Random(13)
+    line = cases.words(rng, 45, 90_000)
+    rows = [(i, f"{cases.words(rng, 60, 90_000)} {line} {cases.words(rng, i % 7 * 9, 90_000)}", "", "", 0, "", 0.0, 0, 0) for i in range(60)] + cases.documents()
+    found = []
+    for least in (chaining.LEAST, 0, 30):
+        monkeypatch.setattr(chaining, "LEAST", least)
+        monkeypatch.setattr(chaining, "CROWD", 8 if least > 30 else 0)
+        found.append(Counter(map(tuple, chaining.fuzzy_passages(cases.frame(spark, rows)).collect())))
+    assert found[0] == found[1] == found[2]
+    assert sum(r[0] < 60 and r[1] == 0 for r in found[0]) == 59
+
+
 def test_equal_words_have_rows_whatever_else_holds_them(spark):
     """Against brute force: each run of 50 words that a text shares with another is covered by rows, of that pair or to one document from both."""
     rng = random.Random(12)
