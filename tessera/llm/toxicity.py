@@ -21,16 +21,20 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textkit
 from tessera.llm.decontam import WORD
-from tessera.llm.durable import apart, settle
+from tessera.llm.durable import apart, drop, settle
 
 ORDER = 5
 #: Bytes of a run that count as one word.
 STRETCH = 24
-DISCOUNT = 2.0
+DISCOUNT: float | None = 2.0
 MARGIN = 2.0
 SLOT_BITS = 21
 FLOOR = 0.01
 BINS = 512
+#: Symbols that stand before and after a word; no word has them.
+START, END = 1, 2
+#: Different stretches that a task remembers at once.
+GIVEN = 2_000_000
 #: Discount of the shared model; evidence is kept in whole numbers of 1 / UNIT nats, so that sums do not depend on their order.
 SHARED_DISCOUNT, UNIT = 0.75, 1 << 20
 _RANGE = (np.log(FLOOR), np.log(40.0))
@@ -54,79 +58,104 @@ def stretches(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.nda
     return base[first], name.view(np.int64), lo, hi, skip, closes
 
 
-def _vocabulary(order: int):
-    """For mapInArrow over (group, text): different stretches with their counts by group 0 to 3, twice the fold plus the class; other groups count nothing."""
+def _vocabulary(order: int, once: bool = False):
+    """For mapInArrow over (group, text): different stretches with their counts by group 0 to 3, twice the fold plus the class; other groups count nothing.
+
+    ``once``, for texts that count nothing: what a task has given lately it does not give again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = np.zeros(0, np.int64)
         for batch, data, offsets in textkit.pieces(batches):
             first, name, lo, hi, skip, closes = stretches(data, offsets, order)
             group = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(first))
             names, at, place = np.unique(name, return_index=True, return_inverse=True)
+            counts = [np.bincount(place[group == g], minlength=len(names)).astype(np.int64) for g in range(4)]
+            if once:
+                spot = np.minimum(np.searchsorted(given, names), max(len(given) - 1, 0))
+                new = given[spot] != names if len(given) else np.ones(len(names), bool)
+                names, at, counts = names[new], at[new], [c[new] for c in counts]
+                given = np.union1d(given, names) if len(given) < GIVEN else names
             lower = textkit.LOWER[data].tobytes()
             words = [lower[a:b] for a, b in zip(lo[at].tolist(), hi[at].tolist(), strict=True)]
-            counts = [pa.array(np.bincount(place[group == g], minlength=len(names)).astype(np.int64)) for g in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(words, pa.binary()), pa.array(skip[at].astype(np.int32)), pa.array(closes[at]), *counts], ["name", "word", "skip", "closes", "g0", "g1", "g2", "g3"])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(words, pa.binary()), pa.array(skip[at].astype(np.int32)), pa.array(closes[at]), *map(pa.array, counts)], ["name", "word", "skip", "closes", "g0", "g1", "g2", "g3"])
 
     return run
 
 
 def _speller(order: int):
-    """For mapInArrow over (name, word, skip, closes, g0 to g3): a row for each event, with its context, and its events and contexts of 0, 1, ... symbols less than that."""
+    """For mapInArrow over (name, word, skip, closes, g0 to g3): a row for each event: its symbol with the symbols before it, ``order`` at most, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in textkit.pieces(batches, most=1 << 17):
-            skip, closes = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
-            prefix = textkit.Prefix(data)
-            row = np.repeat(np.arange(len(skip)), np.diff(offsets))
-            byte = np.arange(len(data))
-            keep = byte >= (offsets[:-1] + skip)[row]
-            whole = np.flatnonzero(closes)
-            row, at = np.concatenate([row[keep], whole]), np.concatenate([byte[keep], offsets[1:][whole]])
-            end = np.arange(len(row)) >= keep.sum()
-            opens = offsets[:-1][row]
-            depth = np.minimum(order - 1, at - opens + (skip[row] == 0))
-            grams, contexts = np.zeros((order, len(row)), np.uint64), np.zeros((order, len(row)), np.uint64)
-            for j in range(order):
-                lo = np.maximum(at - j, opens)
-                tag = (2 * (at - lo) + (at - j < opens)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                before = prefix(lo, at)
-                after = np.where(end, before ^ np.uint64(0x5851F42D4C957F2D), prefix(lo, np.minimum(at + 1, len(data))))
-                grams[j], contexts[j] = textkit.mixed(after + tag + np.uint64(1)), textkit.mixed(before + tag)
-            every, lists = np.arange(len(row)), pa.array(np.concatenate([[0], np.cumsum(depth)]).astype(np.int32))
-            shorter = np.arange(order)[None, :] < depth[:, None]
-            chains = [pa.ListArray.from_arrays(lists, pa.array(h.T[shorter].view(np.int64))) for h in (grams, contexts)]
-            own = [pa.array(h[depth, every].view(np.int64)) for h in (grams, contexts)]
-            taken = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), *own, *chains, *(batch.column(i).take(taken) for i in range(4, 8))], ["name", "gram", "context", "shorter", "shorter_contexts", "g0", "g1", "g2", "g3"])
+            n, skip, closes = batch.num_rows, batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            opens = (skip == 0).astype(np.int64)
+            size = np.diff(offsets)
+            ends = np.cumsum(size + opens + closes)
+            starts = np.r_[0, ends[:-1]]
+            symbols = np.full(int(ends[-1]) if n else 0, END, np.uint8)  # what no word fills is an end, or
+            symbols[starts[opens > 0]] = START
+            row = np.repeat(np.arange(n), size)
+            symbols[np.arange(len(data)) + (starts + opens - offsets[:-1])[row]] = data
+            owner = np.repeat(np.arange(n), ends - starts)
+            at = np.flatnonzero(np.arange(len(symbols)) >= (starts + np.where(opens > 0, 1, skip))[owner])
+            own = owner[at]
+            before = np.arange(order - 1, -1, -1)
+            spots = at[:, None] - before[None, :]
+            inside = spots >= starts[own][:, None]
+            grams = symbols[np.maximum(spots, 0)][inside]
+            bounds = np.r_[0, np.cumsum(inside.sum(axis=1))].astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(grams.tobytes())])
+            taken = pa.array(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), column, *(batch.column(i).take(taken) for i in range(4, 8))], ["name", "gram", "g0", "g1", "g2", "g3"])
 
     return run
 
 
-def evidence(events: DataFrame, discount: float) -> DataFrame:
-    """(gram, e0, e1): log-likelihood ratio of each event of the labelled rows, toxic over ordinary, in units of 1 / ``UNIT``; e0 of fold 0 alone, e1 of all."""
-    taught = events.filter("g0 + g1 + g2 + g3 > 0")
-    kept = ("context", "shorter", "shorter_contexts")
-    tops = settle(taught.groupBy("gram").agg(*(F.first(c).alias(c) for c in kept), *(F.sum(f"g{i}").alias(f"g{i}") for i in range(4))), "toxicity-events")
+def _context(gram: str) -> Column:
+    return F.substring(gram, F.lit(1), F.octet_length(gram) - 1)
+
+
+def _shorter(gram: str) -> Column:
+    """All that is left of an event as its first symbols are taken away, the longest first."""
+    return F.transform(F.sequence(F.lit(2), F.octet_length(gram)), lambda i: F.substring(F.col(gram), i, F.octet_length(gram)))
+
+
+def discounts(counts: DataFrame, names: tuple[str, ...]) -> dict[str, float]:
+    """Absolute discounts n1 / (n1 + 2 n2) of count columns, n1 and n2 being how many events are seen once and twice; 0.75 where none is."""
+    seen = counts.agg(*(F.count_if(F.col(c) == n).alias(f"{c}_{n}") for c in names for n in (1, 2))).first()
+    return {c: seen[f"{c}_1"] / (seen[f"{c}_1"] + 2 * seen[f"{c}_2"]) if seen[f"{c}_1"] else SHARED_DISCOUNT for c in names}
+
+
+def evidence(events: DataFrame, discount: float | None) -> DataFrame:
+    """(gram, e0, e1): log-likelihood ratio of each event of the labelled rows, toxic over ordinary, in units of 1 / ``UNIT``; e0 of fold 0 alone, e1 of all.
+
+    ``discount`` is what each class takes from a count; None stands for the estimate of ``discounts``.
+    """
+    tops = settle(events.filter("g0 + g1 + g2 + g3 > 0").groupBy("gram").agg(*(F.sum(f"g{i}").alias(f"g{i}") for i in range(4))), "toxicity-events")
 
     # the shared model: how many different events one symbol longer end in this one
-    longer = F.slice(F.concat("shorter", F.array("gram")), F.lit(2), F.size("shorter"))
-    steps = tops.select("gram", F.posexplode(F.arrays_zip(F.col("shorter").alias("s"), F.col("shorter_contexts").alias("c"), longer.alias("l"))).alias("level", "step"))
-    lower = steps.select("step.l", "step.s", "step.c").distinct().groupBy("s", "c").agg(F.count("*").alias("n"))
-    spread = lower.groupBy("c").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    lower = lower.join(spread.hint("shuffle_merge"), "c").select("s", "n", "total", "kinds")
-    levels = steps.select("gram", "level", F.col("step.s").alias("s")).join(lower.hint("shuffle_merge"), "s").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("level", "n", "total", "kinds"))).alias("levels"))
+    longer = tops.select(F.explode(F.concat(F.array("gram"), F.when(F.octet_length("gram") > 1, _shorter("gram")).otherwise(F.array()))).alias("l")).filter(F.octet_length("l") > 1).distinct()
+    lower = longer.groupBy(F.substring("l", F.lit(2), F.octet_length("l")).alias("s")).agg(F.count("*").alias("n")).withColumn("c", _context("s"))
+    spread = lower.groupBy(F.col("c").alias("d")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    lower = lower.join(spread.hint("shuffle_merge"), F.col("c") == F.col("d")).select("s", "n", "total", "kinds")
+    steps = tops.filter(F.octet_length("gram") > 1).select("gram", F.explode(_shorter("gram")).alias("t"))
+    levels = steps.join(lower.hint("shuffle_merge"), F.col("t") == F.col("s")).groupBy("gram").agg(F.array_sort(F.collect_list(F.struct(F.octet_length("t").alias("level"), "n", "total", "kinds"))).alias("levels"))
     shared = F.aggregate("levels", F.lit(1 / 257), lambda p, x: (x["n"] - F.lit(SHARED_DISCOUNT) + F.lit(SHARED_DISCOUNT) * x["kinds"] * p) / x["total"])
-    found = tops.select("gram", "context", F.col("g0").alias("a0"), F.col("g1").alias("a1"), (F.col("g0") + F.col("g2")).alias("b0"), (F.col("g1") + F.col("g3")).alias("b1"))
     names = ("a0", "a1", "b0", "b1")
-    totals = found.groupBy("context").agg(*(F.sum(c).alias(f"{c}_total") for c in names), *(F.sum(F.least(F.col(c).cast("double"), F.lit(discount))).alias(f"{c}_freed") for c in names))
-    found = found.join(totals.hint("shuffle_merge"), "context").join(levels.select("gram", shared.alias("shared")).hint("shuffle_merge"), "gram")
+    found = tops.select("gram", _context("gram").alias("context"), F.col("g0").alias("a0"), F.col("g1").alias("a1"), (F.col("g0") + F.col("g2")).alias("b0"), (F.col("g1") + F.col("g3")).alias("b1"))
+    less = discounts(found, names) if discount is None else dict.fromkeys(names, discount)
+    totals = found.groupBy(F.col("context").alias("d")).agg(*(F.sum(c).alias(f"{c}_total") for c in names), *(F.sum(F.least(F.col(c).cast("double"), F.lit(less[c]))).alias(f"{c}_freed") for c in names))
+    found = found.join(totals.hint("shuffle_merge"), F.col("context") == F.col("d")).join(levels.select(F.col("gram").alias("t"), shared.alias("shared")).hint("shuffle_merge"), F.col("gram") == F.col("t"))
 
     def log_of(c: str) -> Column:
-        p = (F.greatest(F.col(c) - F.lit(discount), F.lit(0.0)) + F.col(f"{c}_freed") * F.col("shared")) / F.greatest(F.col(f"{c}_total"), F.lit(1))
+        p = (F.greatest(F.col(c) - F.lit(less[c]), F.lit(0.0)) + F.col(f"{c}_freed") * F.col("shared")) / F.greatest(F.col(f"{c}_total"), F.lit(1))
         return F.log(F.when(F.col(f"{c}_total") > 0, F.greatest(p, F.lit(1e-12))).otherwise(F.col("shared")))
 
     ratio = lambda c: F.when(F.col(f"{c}0") + F.col(f"{c}1") > 0, F.round((log_of(f"{c}1") - log_of(f"{c}0")) * UNIT)).otherwise(F.lit(0)).cast("long")
-    return settle(found.select("gram", ratio("a").alias("e0"), ratio("b").alias("e1")), "toxicity-evidence")
+    found = settle(found.select("gram", ratio("a").alias("e0"), ratio("b").alias("e1")), "toxicity-evidence")
+    drop(tops)
+    return found
 
 
 def _finder(sent, order: int, bits: int):
@@ -169,7 +198,7 @@ def calibrate(x: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> tuple[float
 
 
 def score(
-    docs: DataFrame, labels: DataFrame, fold: Column, *, order: int = ORDER, discount: float = DISCOUNT, margin: float = MARGIN, bits: int = SLOT_BITS,
+    docs: DataFrame, labels: DataFrame, fold: Column, *, order: int = ORDER, discount: float | None = DISCOUNT, margin: float = MARGIN, bits: int = SLOT_BITS,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> DataFrame:
     """Rows (row, score) for every row of ``docs``: the input row without its text as a struct and the chance of label 1.
@@ -189,12 +218,14 @@ def score(
     if not 0 < ones < everyone:
         return rows.select("row", F.lit(ones / everyone if everyone else 0.0).alias("score"))
     shape = "name long, word binary, skip int, closes boolean, g0 long, g1 long, g2 long, g3 long"
-    words = taught.mapInArrow(_vocabulary(order), shape).union(docs.select(F.lit(-1).cast("long").alias("g"), F.col(text_col).alias("text")).mapInArrow(_vocabulary(order), shape))
-    words = settle(words.groupBy("name").agg(*(F.first(c).alias(c) for c in ("word", "skip", "closes")), *(F.sum(f"g{i}").alias(f"g{i}") for i in range(4))), "toxicity-words")
-    events = words.mapInArrow(_speller(order), "name long, gram long, context long, shorter array<long>, shorter_contexts array<long>, g0 long, g1 long, g2 long, g3 long")
-    sums = events.select("name", "gram").join(evidence(events, discount).hint("shuffle_merge"), "gram").groupBy("name").agg(F.sum("e0").alias("e0"), F.sum("e1").alias("e1"))
+    words = taught.mapInArrow(_vocabulary(order), shape).union(docs.select(F.lit(-1).cast("long").alias("g"), F.col(text_col).alias("text")).mapInArrow(_vocabulary(order, once=True), shape))
+    words = settle(words.groupBy("name", "word", "skip", "closes").agg(*(F.sum(f"g{i}").alias(f"g{i}") for i in range(4))), "toxicity-words")
+    events = words.mapInArrow(_speller(order), "name long, gram binary, g0 long, g1 long, g2 long, g3 long")
+    known = evidence(events, discount)
+    sums = events.select("name", "gram").join(known.filter("e0 <> 0 OR e1 <> 0").hint("shuffle_merge"), "gram").groupBy("name").agg(F.sum("e0").alias("e0"), F.sum("e1").alias("e1"))
     above = [F.greatest(F.col(f"e{i}") - F.lit(round(margin * UNIT)), F.lit(0)).cast("long").alias(f"w{i}") for i in range(2)]
     weights = settle(sums.select("name", *above).filter("w0 > 0 OR w1 > 0"), "toxicity-weights")
+    drop(words, known)
     slots = weights.select(F.shiftrightunsigned("name", 64 - bits).alias("slot")).distinct().toArrow().column("slot").to_numpy()
     marked = np.zeros(1 << bits, bool)
     marked[slots] = True

@@ -483,7 +483,7 @@ def test_toxicity_backs_off_to_continuation_counts(spark):
     texts = [("abcab xbc", 0), ("abd xbc xbc", 1), ("abcab ybd", 1), ("zzb", 3)]
     rows = spark.createDataFrame([(g, t) for t, g in texts], "g long, text string")
     words = rows.mapInArrow(toxicity._vocabulary(3), "name long, word binary, skip int, closes boolean, g0 long, g1 long, g2 long, g3 long")
-    events = words.mapInArrow(toxicity._speller(3), "name long, gram long, context long, shorter array<long>, shorter_contexts array<long>, g0 long, g1 long, g2 long, g3 long")
+    events = words.mapInArrow(toxicity._speller(3), "name long, gram binary, g0 long, g1 long, g2 long, g3 long")
     got = Counter((r["e0"], r["e1"]) for r in toxicity.evidence(events, 1.0).collect())
 
     counts = defaultdict(lambda: [0, 0, 0, 0])
