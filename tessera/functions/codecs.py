@@ -6,6 +6,7 @@ import math
 import sys
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -29,13 +30,33 @@ def _table() -> list[int]:
 _CRC64 = _table()
 
 
-def crc64(data: bytes) -> int:
-    crc = 0
+def crc64(data: bytes, crc: int = 0) -> int:
     for byte in data:
         crc = _CRC64[(crc ^ byte) & 0xFF] ^ crc >> 8
     return crc
 
 
+_CRC64_COLUMN = np.array(_CRC64, np.uint64)
+#: Values that are still worth a step over all of them at once.
+_FEW = 16
+
+
+def crc64_many(values: list[bytes]) -> list[int]:
+    """Checksums of many values, one byte of all of them at a time; the longest few are finished alone."""
+    order = sorted(range(len(values)), key=lambda i: -len(values[i]))
+    sizes = np.array([len(values[i]) for i in order], np.int64)
+    data = np.frombuffer(b"".join(values[i] for i in order), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    crc, at = np.zeros(len(values), np.uint64), 0
+    while (n := int(np.searchsorted(-sizes, -at, "left"))) > _FEW:
+        crc[:n] = _CRC64_COLUMN[((crc[:n] ^ data[starts[:n] + at]) & np.uint64(0xFF)).astype(np.int64)] ^ (crc[:n] >> np.uint64(8))
+        at += 1
+    out = [0] * len(values)
+    for place, i in enumerate(order):
+        out[i] = crc64(values[i][at:], int(crc[place])) if sizes[place] > at else int(crc[place])
+    return out
+
+
 def seal(value: bytes) -> bytes:
     """A value with its version and checksum behind it."""
     body = value + DUMP_VERSION.to_bytes(2, "little")
@@ -50,7 +71,10 @@ def unseal(payload: bytes) -> bytes | None:
 
 
 def float_text(x: float) -> str:
-    """Shortest text of a double: integers plainly up to 2**62, else the fewest digits that read back, with an exponent outside 1e-5 to 1e17."""
+    """Text of a double: integers plainly up to 2**62, else the fewest digits that read back, as digits * 10**k.
+
+    With k of 0 or more they are written out if fewer than seven zeros follow, below that as a decimal fraction if k is over -7 or the number is of the order of 1e-3 to 1e3, and else with an exponent.
+    """
     if math.isnan(x):
         return "nan"
     if math.isinf(x):
@@ -61,15 +85,14 @@ def float_text(x: float) -> str:
         return str(int(x))
     sign, digits, exponent = Decimal(repr(x)).normalize().as_tuple()
     text = "".join(map(str, digits))
-    point = len(text) + exponent  # digits before the point
-    if point > 21 or point < -5:
-        text = f"{text[0]}{'.' + text[1:] if len(text) > 1 else ''}e{'+' if point > 0 else '-'}{abs(point - 1)}"
-    elif point <= 0:
-        text = "0." + "0" * -point + text
-    elif point >= len(text):
-        text += "0" * (point - len(text))
+    order = len(text) + exponent - 1  # of the first digit
+    if exponent >= 0 and abs(order) < len(text) + 7:
+        text += "0" * exponent
+    elif -7 < exponent < 0 or (exponent < 0 and abs(order) < 4):
+        point = len(text) + exponent
+        text = f"{text[:point]}.{text[point:]}" if point > 0 else "0." + "0" * -point + text
     else:
-        text = f"{text[:point]}.{text[point:]}"
+        text = f"{text[0]}{'.' + text[1:] if len(text) > 1 else ''}e{'-' if order < 0 else '+'}{abs(order)}"
     return "-" * sign + text
 
 
@@ -140,12 +163,40 @@ def _udf(kind: str, f):
 
 
 def dump_udf():
-    return _udf("binary", lambda v: seal(bytes(v)))
+    @F.pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        bodies = [None if v is None else bytes(v) + DUMP_VERSION.to_bytes(2, "little") for v in values]
+        sums = iter(crc64_many([b for b in bodies if b is not None]))
+        return pd.Series([None if b is None else b + next(sums).to_bytes(8, "little") for b in bodies], dtype=object)
+
+    return run
 
 
 def restore_udf():
-    return _udf("binary", lambda v: unseal(bytes(v)))
+    @F.pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        payloads = [b"" if v is None else bytes(v) for v in values]
+        sums = crc64_many([p[:-8] for p in payloads])
+        good = [len(p) >= 10 and int.from_bytes(p[-10:-8], "little") <= DUMP_VERSION and c == int.from_bytes(p[-8:], "little") for p, c in zip(payloads, sums, strict=True)]
+        return pd.Series([p[:-10] if ok else None for p, ok in zip(payloads, good, strict=True)], dtype=object)
+
+    return run
 
 
 def float_text_udf():
     return _udf("string", float_text)
+
+
+def lzf_checked(rows):
+    """(doc_id, n_bytes, same) of (doc_id, text): whether each text comes back from LZF, and the bytes that come back."""
+
+    @F.pandas_udf("binary")
+    def there(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: lzf_compress(v.encode())).astype(object)
+
+    @F.pandas_udf("binary")
+    def back(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: lzf_decompress(bytes(v))).astype(object)
+
+    found = rows.withColumn("again", back(there("text")))
+    return found.select("doc_id", F.octet_length("again").cast("long").alias("n_bytes"), (F.col("again") == F.col("text").cast("binary")).alias("same"))

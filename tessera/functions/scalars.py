@@ -38,17 +38,26 @@ def encoding(text: Column) -> Column:
     return F.when((size <= INT_BYTES) & strict_long(text).isNotNull(), "int").when(size <= SHORT_BYTES, "embstr").otherwise("raw")
 
 
+def _crc16_table() -> list[int]:
+    out = []
+    for byte in range(256):
+        crc = byte << 8
+        for _ in range(8):
+            crc = (crc << 1 & 0xFFFF) ^ (CRC16_POLYNOMIAL if crc & 0x8000 else 0)
+        out.append(crc)
+    return out
+
+
+_CRC16 = _crc16_table()
+
+
 def crc16(text: Column) -> Column:
-    """CRC-16 of the UTF-8 bytes, most significant bit first, from 0."""
+    """CRC-16 of the UTF-8 bytes, most significant bit first, from 0: a lookup a byte."""
+    table = F.array(*map(F.lit, _CRC16))
     digits = F.hex(text.cast("binary"))
     octets = F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), lambda i: F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
     octets = F.when(F.octet_length(text) > 0, octets).otherwise(F.array().cast("array<int>"))
-
-    def bit(crc: Column, _: Column) -> Column:
-        moved = F.shiftleft(crc, 1).bitwiseAND(0xFFFF)
-        return F.when(crc.bitwiseAND(0x8000) != 0, moved.bitwiseXOR(F.lit(CRC16_POLYNOMIAL))).otherwise(moved)
-
-    return F.aggregate(octets, F.lit(0), lambda crc, o: F.aggregate(F.sequence(F.lit(1), F.lit(8)), crc.bitwiseXOR(F.shiftleft(o, 8)), bit))
+    return F.aggregate(octets, F.lit(0), lambda crc, o: F.shiftleft(crc, 8).bitwiseAND(0xFFFF).bitwiseXOR(F.get(table, F.shiftright(crc, 8).bitwiseXOR(o))))
 
 
 def hash_tag(key: Column) -> Column:
@@ -66,6 +75,19 @@ def shard(key: Column, shards: int) -> Column:
     return slot(key).bitwiseAND(shards - 1)
 
 
+def shard_of(key: str, shards: int) -> int:
+    """The same for one key on the driver."""
+    data = key.encode()
+    opened = data.find(b"{")
+    closed = data.find(b"}", opened + 1) if opened >= 0 else -1
+    if closed > opened + 1:
+        data = data[opened + 1 : closed]
+    crc = 0
+    for byte in data:
+        crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ byte]
+    return crc & (SLOTS - 1) & (shards - 1)
+
+
 def reversed_bits(x: Column, width: int) -> Column:
     return F.conv(F.reverse(F.lpad(F.bin(x), width, "0")), 2, 10).cast("long")
 

@@ -54,6 +54,42 @@ def zset_delete_by_rank(z: DataFrame, start: int, stop: int) -> DataFrame:
     return z.join(gone, ["key", "member"], "left_anti")
 
 
+def zset_delete_by_score(z: DataFrame, low: float | None, high: float | None, low_open: bool = False, high_open: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What is left once the scores in a range are gone, and what went."""
+    test = _inside(F.col("score"), low, high, low_open, high_open)
+    return z.filter(~test), z.filter(test)
+
+
+def zset_delete_by_lex(z: DataFrame, low: str | None, high: str | None, low_open: bool = False, high_open: bool = False) -> tuple[DataFrame, DataFrame]:
+    test = _inside(F.col("member"), low, high, low_open, high_open)
+    return z.filter(~test), z.filter(test)
+
+
+def zset_ends(z: DataFrame) -> DataFrame:
+    """(key, first, first_score, last, last_score)."""
+    at = F.struct("score", "member")
+    rows = z.groupBy("key").agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    return rows.select("key", F.col("a.member").alias("first"), F.col("a.score").alias("first_score"), F.col("b.member").alias("last"), F.col("b.score").alias("last_score"))
+
+
+def zset_ends_in_range(z: DataFrame, low: float | None, high: float | None, low_open: bool = False, high_open: bool = False) -> DataFrame:
+    """(key, first_rank, last_rank) of the members with scores in a range; sets without any are left out.
+
+    Ranks follow from counts: what lies before the range, and what lies in it.
+    """
+    inside = _inside(F.col("score"), low, high, low_open, high_open)
+    below = F.lit(False) if low is None else F.col("score") <= low if low_open else F.col("score") < low
+    rows = z.groupBy("key").agg(F.count_if(below).alias("before"), F.count_if(inside).alias("n")).filter("n > 0")
+    return rows.select("key", F.col("before").alias("first_rank"), (F.col("before") + F.col("n") - 1).alias("last_rank"))
+
+
+def zset_pop(z: DataFrame, count: int, highest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sets without their ``count`` lowest or highest members, and those."""
+    gone = zset_by_rank(z, -count, -1) if highest else zset_by_rank(z, 0, count - 1)
+    gone = gone.select("key", "member", "score")
+    return z.join(gone.select("key", "member"), ["key", "member"], "left_anti"), gone
+
+
 def zset_upsert(z: DataFrame, batch: DataFrame) -> DataFrame:
     """Scores of ``batch`` (key, member, score) replace or add; zero has one sign."""
     new = batch.withColumn("score", F.col("score") + 0.0)
@@ -113,6 +149,53 @@ def list_push(rows: DataFrame, items: DataFrame, front: bool = False) -> DataFra
     return list_renumber(rows.select("key", "pos", "elem").union(added))
 
 
+def list_pop(rows: DataFrame, count: int = 1, front: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The lists without ``count`` elements of an end, and those (key, place, elem) in the order they come off."""
+    sized = _sized(rows)
+    place = F.col("pos") if front else F.col("n") - 1 - F.col("pos")
+    taken = sized.withColumn("place", place.cast("long"))
+    return list_renumber(taken.filter(F.col("place") >= count).select("key", "pos", "elem")), taken.filter(F.col("place") < count).select("key", "place", "elem")
+
+
+def list_ends(rows: DataFrame) -> DataFrame:
+    """(key, head, tail)."""
+    return rows.groupBy("key").agg(F.min_by("elem", "pos").alias("head"), F.max_by("elem", "pos").alias("tail"))
+
+
+def list_nodes(rows: DataFrame, fill: int) -> DataFrame:
+    """(key, nodes) of lists filled from one end, for a positive fill: elements a node."""
+    if fill < 1:
+        raise ValueError("a fill by size depends on the order of edits")
+    return rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(fill)).alias("nodes"))
+
+
+def list_find(rows: DataFrame, value: str, start: int = 0, skip: int = 0) -> DataFrame:
+    """(key, pos) of the first equal element from ``start`` on, looking at one in every ``skip + 1``: fields of pairs, with a skip of 1."""
+    seen = rows.filter((F.col("pos") >= start) & ((F.col("pos") - start) % (skip + 1) == 0) & (F.col("elem") == value))
+    return seen.groupBy("key").agg(F.min("pos").alias("pos"))
+
+
+#: Bytes before and after the elements, and the ranges that each way of packing an integer holds (bits, bytes).
+PACK_FRAME, PACK_INTEGERS = 7, ((12, 2), (15, 3), (23, 4), (31, 5))
+
+
+def packed_size(elem: Column) -> Column:
+    """Bytes of an element in a packed list: its encoding, and that one's length written backwards."""
+    from tessera.functions.scalars import strict_long
+
+    value, n = strict_long(elem), F.octet_length(elem).cast("long")
+    ladder = F.when(value.between(0, 127), 1)
+    for bits, size in PACK_INTEGERS:
+        ladder = ladder.when(value.between(-(1 << bits), (1 << bits) - 1), size)
+    size = F.when(value.isNotNull(), ladder.otherwise(9)).when(n < 64, n + 1).when(n < 4096, n + 2).otherwise(n + 5)
+    return (size + F.when(size <= 127, 1).when(size < 16383, 2).when(size < 2097151, 3).when(size < 268435455, 4).otherwise(5)).cast("long")
+
+
+def list_packed(rows: DataFrame) -> DataFrame:
+    """(key, n, bytes) of each list as one packed list."""
+    return rows.groupBy("key").agg(F.count("*").alias("n"), (F.sum(packed_size(F.col("elem"))) + PACK_FRAME).alias("bytes"))
+
+
 def list_set(rows: DataFrame, index: int, value: str) -> DataFrame:
     at = F.lit(index) if index >= 0 else F.col("n") + index
     return _sized(rows).withColumn("elem", F.when(F.col("pos") == at, value).otherwise(F.col("elem"))).drop("n")
@@ -155,6 +238,22 @@ def intset_width(ever: DataFrame) -> DataFrame:
     return got.withColumn("width", F.when(fits(15), 2).when(fits(31), 4).otherwise(8))
 
 
+def intset_edit(s: DataFrame, add: DataFrame, remove: DataFrame) -> DataFrame:
+    """(key, member) once members are added and then others removed."""
+    return s.select("key", "member").union(add.select("key", "member")).distinct().join(remove.select("key", "member"), ["key", "member"], "left_anti")
+
+
+def intset_walk(s: DataFrame, backward: bool = False) -> DataFrame:
+    """(key, place, member) in ascending or descending order."""
+    order = F.col("member").desc() if backward else F.col("member").asc()
+    return s.select("key", "member").distinct().withColumn("place", (F.row_number().over(W.partitionBy("key").orderBy(order)) - 1).cast("long"))
+
+
+def set_random(s: DataFrame, seed: str) -> DataFrame:
+    """(key, member): one of each set, drawn by a seeded hash."""
+    return s.groupBy("key").agg(F.min_by("member", F.md5(F.concat_ws(":", F.lit(seed), "key", F.col("member").cast("string")))).alias("member"))
+
+
 def intset_at(s: DataFrame, index: int) -> DataFrame:
     return s.distinct().withColumn("i", F.row_number().over(W.partitionBy("key").orderBy("member")) - 1).filter(F.col("i") == index).select("key", "member")
 
@@ -200,16 +299,55 @@ def seek_back(rows: DataFrame, how: str, ms: int, seq: int = 0) -> DataFrame:
     return rows.join(start, "key").filter(at <= F.col("from")).drop("from")
 
 
+def map_edit(rows: DataFrame, put: DataFrame, remove: DataFrame) -> DataFrame:
+    """An ordered map (key, name, value) once entries are put, replacing those of their names, and names removed."""
+    kept = rows.join(put.select("key", "name"), ["key", "name"], "left_anti").select("key", "name", "value").union(put.select("key", "name", "value"))
+    return kept.join(remove.select("key", "name"), ["key", "name"], "left_anti")
+
+
+def map_find(rows: DataFrame, probes: DataFrame) -> DataFrame:
+    """(key, name, value) of every probe, null where there is none."""
+    return probes.select("key", "name").join(rows.select("key", "name", "value"), ["key", "name"], "left")
+
+
+def map_ends(rows: DataFrame) -> DataFrame:
+    """(key, first, last): least and greatest names by their bytes."""
+    return rows.groupBy("key").agg(F.min("name").alias("first"), F.max("name").alias("last"))
+
+
+def map_walk(rows: DataFrame, backward: bool = False) -> DataFrame:
+    """(key, place, name, value) in the order of names."""
+    order = F.col("name").desc() if backward else F.col("name").asc()
+    return rows.withColumn("place", (F.row_number().over(W.partitionBy("key").orderBy(order)) - 1).cast("long")).select("key", "place", "name", "value")
+
+
 # --- SORT ---
 
 
+NOT_A_NUMBER = "One or more scores can't be converted into double"
+
+
+def sort_errors(elements: DataFrame) -> DataFrame:
+    """(key, error) of collections (key, elem) that do not sort by number."""
+    from tessera.functions.scalars import strict_double
+
+    bad = strict_double(F.col("elem").cast("string")).isNull() & F.col("elem").isNotNull()
+    return elements.filter(bad).select("key", F.lit(NOT_A_NUMBER).alias("error")).distinct()
+
+
+def sort_store(lists: DataFrame, found: DataFrame, name: Column) -> DataFrame:
+    """``lists`` (key, pos, elem) with the elements of ``sort_elements`` (key, place, elem) stored under ``name``, an expression over its key; what was there goes, and an empty result leaves nothing."""
+    stored = found.select(name.alias("key"), F.col("place").alias("pos"), "elem")
+    return list_renumber(lists.join(stored.select("key").distinct(), "key", "left_anti").select("key", "pos", "elem").union(stored))
+
+
 def sort_elements(
     elements: DataFrame, *, by: str | None = None, lookup: DataFrame | None = None, get: tuple[str, ...] = (), alpha: bool = False, desc: bool = False, offset: int = 0, count: int = -1,
 ) -> DataFrame:
     """(key, place, elem, get_0, ...) of each collection's elements (key, elem), in order.
 
     ``by`` and ``get`` are patterns in which ``*`` stands for the element, looked up as ``name`` or ``name->field`` in ``lookup`` (key, field, value; field null for strings); ``#`` gets the element itself.
-    Missing weights are 0, or come first with ``alpha``; ties go by the element's bytes; ``desc`` turns the whole order round. A ``by`` without ``*`` leaves the elements unsorted (here: in byte order). A negative count runs to the end.
+    Weights that are no numbers are an error unless ``alpha`` is set (``sort_errors`` has the keys concerned). Missing weights are 0, or come first with ``alpha``; ties go by the element's bytes; ``desc`` turns the whole order round. A ``by`` without ``*`` leaves the elements unsorted (here: in byte order). A negative count runs to the end.
     """
     from tessera.functions.scalars import strict_double
 
@@ -229,7 +367,8 @@ def sort_elements(
     elif "*" in by:
         rows = look(rows, by, "_w")
     if by is None or "*" in by:
-        weight = F.col("_w") if alpha else F.coalesce(strict_double(F.col("_w")), F.lit(0.0))
+        number = strict_double(F.col("_w"))
+        weight = F.col("_w") if alpha else F.when(F.col("_w").isNull(), F.lit(0.0)).when(number.isNull(), F.raise_error(F.lit(NOT_A_NUMBER)).cast("double")).otherwise(number)
         order = [weight.desc_nulls_last() if desc else weight.asc_nulls_first()]
     order.append(F.col("elem").desc() if desc and order else F.col("elem").asc())
     rows = rows.withColumn("place", (F.row_number().over(W.partitionBy("key").orderBy(*order)) - 1).cast("long")).drop("_w")

@@ -96,21 +96,64 @@ def scan(k: DataFrame, now_ms: int, *, shards: int, bits: int, shard: int | None
     return rows.select("key", "shard", "bucket", cursor.alias("cursor"))
 
 
+def scan_page(k: DataFrame, now_ms: int, cursor: int, *, count: int = 10, shards: int, bits: int, pattern: str = "*", kind: str | None = None, db: int = 0) -> tuple[DataFrame, int]:
+    """(key) of the buckets from a cursor on until ``count`` live entries are examined, whole buckets at a time, and the cursor to go on from (0 at the end).
+
+    Shards come one after another, a shard's buckets in the order of their places. ``pattern`` and ``kind`` choose among the entries examined. A key that stays is returned at least once, whatever
+    else is set or deleted between pages. The driver gets at most one row a bucket.
+    """
+    rows = scan(k, now_ms, shards=shards, bits=bits, db=db)
+    low = shards.bit_length() - 1
+    spot = lambda shard, place: shard * (1 << bits) + place
+    at = (F.col("shard") * (1 << bits) + F.shiftright("cursor", low)).cast("long")
+    start = spot(cursor & (shards - 1), cursor >> low)
+    rows = rows.withColumn("at", at).filter(F.col("at") >= start)
+    if shards * (1 << bits) <= start:
+        return rows.select("key").filter(F.lit(False)), 0
+    sizes = sorted((r["at"], r["count"]) for r in rows.groupBy("at").count().collect())
+    seen, stop = 0, None
+    for place, n in sizes:
+        if seen >= count:
+            stop = place
+            break
+        seen += n
+    page = rows if stop is None else rows.filter(F.col("at") < stop)
+    page = page.filter(scalars.glob(F.col("key"), pattern))
+    if kind is not None:
+        page = page.join(live(k, now_ms).filter((F.col("db") == db) & (F.col("type") == kind)).select("key"), "key", "left_semi")
+    if stop is None:
+        return page.select("key"), 0
+    shard, place = divmod(stop, 1 << bits)
+    return page.select("key"), place << low | shard
+
+
 def dbsize(k: DataFrame, db: int = 0) -> DataFrame:
     """Rows of a database, keys past their deadline included until they are removed."""
     return k.filter(F.col("db") == db).agg(F.count("*").alias("n"))
 
 
-def object_info(k: DataFrame, now_ms: int, db: int = 0) -> DataFrame:
-    """Encoding, reference count and idle seconds of live string keys."""
+def object_info(k: DataFrame, now_ms: int, db: int = 0, policy: str = "noeviction") -> DataFrame:
+    """Encoding, reference count and idle seconds of live string keys; idle times are not kept under a policy by frequency."""
+    if policy.endswith("lfu"):
+        raise ValueError("An LFU maxmemory policy is selected, idle time not tracked.")
     rows = live(k, now_ms).filter((F.col("db") == db) & (F.col("type") == "string"))
     small = scalars.strict_long(F.col("val")).between(0, 9999) & (scalars.encoding(F.col("val")) == "int")
     idle = F.pmod(F.floor(F.lit(now_ms) / 1000) - F.floor(F.col("access_ms") / 1000), F.lit(CLOCK))
     return rows.select("key", scalars.encoding(F.col("val")).alias("encoding"), F.when(small, 2147483647).otherwise(1).alias("refcount"), idle.cast("long").alias("idle_s"))
 
 
-def object_freq(counters: DataFrame) -> DataFrame:
-    """The stored 8-bit counter of (key, freq)."""
+#: Fixed value: the subcommands with what they tell.
+OBJECT_HELP = (("ENCODING", "how a value is held"), ("FREQ", "the access frequency counter"), ("IDLETIME", "seconds since the last access"), ("REFCOUNT", "references of a value"), ("HELP", "this text"))
+
+
+def object_help() -> list[str]:
+    return [line for name, text in OBJECT_HELP for line in (f"{name}{'' if name == 'HELP' else ' <key>'}", f"    {text}")]
+
+
+def object_freq(counters: DataFrame, policy: str = "allkeys-lfu") -> DataFrame:
+    """The stored 8-bit counter of (key, freq); it is kept under a policy by frequency only."""
+    if not policy.endswith("lfu"):
+        raise ValueError("An LFU maxmemory policy is not selected, access frequency not tracked.")
     return counters.select("key", F.col("freq").bitwiseAND(255).alias("freq"))
 
 
@@ -131,6 +174,22 @@ def touch(k: DataFrame, keys: DataFrame, now_ms: int, db: int = 0) -> DataFrame:
     return k.join(hit, "key", "left").withColumn("access_ms", F.when(F.col("hit") & alive & (F.col("db") == db), now_ms).otherwise(F.col("access_ms"))).select(*k.columns)
 
 
+def touched(k: DataFrame, keys: DataFrame, now_ms: int, db: int = 0) -> DataFrame:
+    """How many of the probed keys are live; repeats count."""
+    return exists(k, keys, now_ms, db)
+
+
+def command_shards(commands: DataFrame, shards: int) -> DataFrame:
+    """(id, shards) of commands (id, keys): the different shards that their keys live in, ascending, which is the order to lock them in and the partitions to read."""
+    keys = commands.select("id", F.explode_outer("keys").alias("key"))
+    return keys.withColumn("shard", F.when(F.col("key").isNotNull(), scalars.shard(F.col("key"), shards))).groupBy("id").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
+
+
+def shard_filter(k: DataFrame, keys: list[str], shards: int) -> DataFrame:
+    """Rows of a table with a ``shard`` column in the shards of these keys: literals, so that a table partitioned by shard reads those partitions only."""
+    return k.filter(F.col("shard").isin(sorted({scalars.shard_of(key, shards) for key in keys})))
+
+
 def latest(rows: DataFrame, *by: str, order: str = "ordinal") -> DataFrame:
     """The last row of each key."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")

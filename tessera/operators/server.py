@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import codecs, scalars
@@ -26,6 +27,38 @@ OPERATORS = (
 )
 
 
+#: Operators that answer at once, that need memory, that take keys from their arguments, and that take many shards.
+FAST = {"get", "strlen", "mget", "unlink", "exists", "type", "touch", "ttl", "pttl", "expiretime", "pexpiretime", "persist", "expire", "pexpire", "expireat", "pexpireat", "renamenx", "move", "dbsize", "ping", "echo", "select", "quit", "auth", "hello", "reset"}
+NEED_MEMORY = {"set", "mset", "copy", "restore", "sort"}
+MOVABLE = {"sort", "sort_ro"}
+TIPS = {"del": ("request_policy:multi_shard", "response_policy:agg_sum")}
+TIPS |= {name: TIPS["del"] for name in ("unlink", "exists", "touch")} | {"mget": ("request_policy:multi_shard",), "mset": ("request_policy:multi_shard", "response_policy:all_succeeded")}
+ROW = "name string, arity int, flags array<string>, first_key int, last_key int, step int, acl array<string>, tips array<string>, key_specs array<string>, subcommands array<string>"
+
+
+def command_info(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    """The ten fields of each operator, or of those named (a null row for a name that is unknown)."""
+    known = {o[0]: o for o in OPERATORS}
+    rows = []
+    for name in known if names is None else [n.lower() for n in names]:
+        if name not in known:
+            rows.append((None,) * 10)
+            continue
+        _, arity, writes, first, last, step, _ = known[name]
+        flags = ["write"] if writes else ["readonly"] if first else []
+        flags += [flag for flag, members in (("denyoom", NEED_MEMORY), ("fast", FAST), ("movablekeys", MOVABLE)) if name in members]
+        rows.append((name, arity, flags, first, last, step, [], list(TIPS.get(name, ())), [], []))
+    return spark.createDataFrame(rows, ROW)
+
+
+def command_count() -> int:
+    return len(OPERATORS)
+
+
+def command_docs(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    return catalogue(spark, names).select("name", "summary")
+
+
 def catalogue(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
     """(name, arity, writes, first_key, last_key, step, summary) of all operators or of those named, whatever their case."""
     wanted = None if names is None else {n.lower() for n in names}
@@ -37,8 +70,9 @@ def catalogue(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
 class Settings:
     """What operators take from configuration; ``set_many`` changes all or nothing."""
 
+    port: int = 6379
     databases: int = 16
-    shards: int = 8
+    shard_count: int = 8
     maxmemory: int = 0
     maxmemory_policy: str = "noeviction"
     maxmemory_samples: int = 5
@@ -46,29 +80,52 @@ class Settings:
     lfu_decay_time: int = 1
     notify_keyspace_events: str = ""
     requirepass: str = ""
+    appendonly: str = "no"
+    appendfsync: str = "everysec"
+    timeout: int = 0
+    tcp_keepalive: int = 300
+    hash_max_listpack_entries: int = 128
+    hash_max_listpack_value: int = 64
+    list_max_listpack_size: int = 128
+    set_max_intset_entries: int = 512
+    set_max_listpack_entries: int = 128
+    zset_max_listpack_entries: int = 128
+    zset_max_listpack_value: int = 64
+    proto_max_bulk_len: int = 512 * 1024 * 1024
+    save: str = ""
+
+    @staticmethod
+    def field(name: str) -> str:
+        name = name.lower().replace("-", "_")
+        return "shard_count" if name == "shards" else name
 
     def get(self, name: str) -> str | None:
-        name = name.lower().replace("-", "_")
+        name = self.field(name)
         return str(getattr(self, name)) if name in {f.name for f in fields(self)} else None
 
     def set_many(self, pairs: dict[str, str]) -> Settings:
         changes = {}
         for name, text in pairs.items():
-            field = name.lower().replace("-", "_")
+            field = self.field(name)
             now = getattr(self, field, None)
             if now is None:
                 raise KeyError(name)
             value = text
             if isinstance(now, int):
-                value = scalars.memory_size(text) if field == "maxmemory" else int(text)
+                value = scalars.memory_size(text) if field in ("maxmemory", "proto_max_bulk_len") else int(text)
                 if value is None:
                     raise ValueError(f"{name}: {text}")
             changes[field] = value
-        if (n := changes.get("shards")) is not None and (n < 1 or n & (n - 1)):
-            raise ValueError("shards: not a power of two")
+        if (n := changes.get("shard_count")) is not None and (n < 1 or n & (n - 1)):
+            raise ValueError("shard-count: not a power of two")
         return replace(self, **changes)
 
 
+    def reset_statistics(self) -> Settings:
+        """Figures are aggregates of tables here, so there is nothing to reset."""
+        return self
+
+
 @dataclass
 class Session:
     """A connection's state: database, protocol, name, whether it is allowed in."""
@@ -110,11 +167,12 @@ class Session:
         self.open = False
 
 
-def clients(connections: DataFrame, *, ids: list[int] | None = None, kind: str | None = None, addr: str | None = None, user: str | None = None, min_age_s: int | None = None) -> DataFrame:
-    """Connections (id, addr, type, user, age_s, ...) that pass all filters given: what a listing shows, or a kill ends."""
+def clients(connections: DataFrame, *, ids: list[int] | None = None, kind: str | None = None, addr: str | None = None, laddr: str | None = None, user: str | None = None, min_age_s: int | None = None, skip: int | None = None) -> DataFrame:
+    """Connections (id, addr, laddr, type, user, age_s, ...) that pass all filters given: what a listing shows, or a kill ends; ``skip`` is the id of the caller's own, where that is spared."""
     tests = [
         F.col("id").isin(ids) if ids is not None else None, F.lower("type") == kind.lower() if kind else None, F.col("addr") == addr if addr else None,
         F.col("user") == user if user else None, F.col("age_s") >= min_age_s if min_age_s is not None else None,
+        F.col("laddr") == laddr if laddr else None, F.col("id") != skip if skip is not None else None,
     ]
     for test in tests:
         connections = connections if test is None else connections.filter(test)
@@ -127,8 +185,35 @@ def dump(k: DataFrame, now_ms: int) -> DataFrame:
 
 
 def restore(payloads: DataFrame, now_ms: int, *, absolute: bool = False) -> DataFrame:
-    """(key, val, expire_at_ms, error) for (key, ttl_ms, payload): no deadline for 0; a negative time or a broken payload is an error."""
+    """(key, val, expire_at_ms, error, and ordinal if given) for (key, ttl_ms, payload): no deadline for 0; a negative time or a broken payload is an error."""
     rows = payloads.withColumn("raw", codecs.restore_udf()("payload"))
     error = F.when(F.col("ttl_ms") < 0, "invalid ttl").when(F.col("raw").isNull(), "bad payload")
     at = F.when(F.col("ttl_ms") > 0, F.col("ttl_ms") + (0 if absolute else now_ms))
-    return rows.select("key", F.when(error.isNull(), F.col("raw").cast("string")).alias("val"), F.when(error.isNull(), at).alias("expire_at_ms"), error.alias("error"))
+    return rows.select(*(c for c in ("ordinal",) if c in payloads.columns), "key", F.when(error.isNull(), F.col("raw").cast("string")).alias("val"), F.when(error.isNull(), at).alias("expire_at_ms"), error.alias("error"))
+
+
+def restore_into(k: DataFrame, payloads: DataFrame, now_ms: int, *, replace: bool = False, absolute: bool = False, idle_s: int | None = None, freq: int | None = None, db: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The keyspace with the entries of (ordinal, key, ttl_ms, payload), and (ordinal, key, error) of each.
+
+    Without ``replace`` a live key is busy, for the second of two commands on it too; with it the last good one counts. A deadline that is past already leaves no key. ``idle_s`` sets the access time that long ago; ``freq`` (0 to 255) is kept where the keyspace
+    has such a column.
+    """
+    if freq is not None and not 0 <= freq <= 255:
+        raise ValueError("Invalid FREQ value, must be >= 0 and <= 255")
+    if idle_s is not None and idle_s < 0:
+        raise ValueError("Invalid IDLETIME value, must be >= 0")
+    rows = restore(payloads, now_ms, absolute=absolute)
+    here = keys.live(k, now_ms)
+    mine = here.filter(F.col("db") == db).select("key", F.lit(True).alias("busy"))
+    rows = rows.join(mine, "key", "left")
+    good = F.col("error").isNull() | F.col("error").contains("payload")
+    order = W.partitionBy("key").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
+    usable = F.col("error").isNull()
+    busy = F.lit(False) if replace else good & (F.coalesce("busy", F.lit(False)) | F.coalesce(F.max(usable & (F.col("expire_at_ms").isNull() | (F.col("expire_at_ms") > now_ms))).over(order), F.lit(False)))
+    rows = rows.withColumn("error", F.when(busy, "BUSYKEY").otherwise(F.col("error")))
+    access = now_ms if idle_s is None else now_ms - idle_s * 1000
+    put = keys.latest(rows.filter("error IS NULL"), "key")
+    fresh = {"db": F.lit(db), "key": F.col("key"), "type": F.lit("string"), "val": F.col("val"), "expire_at_ms": F.col("expire_at_ms"), "access_ms": F.lit(access).cast("long"), "freq": F.lit(5 if freq is None else freq)}
+    gone = put.select(F.lit(db).alias("db"), "key")
+    new = put.filter(F.col("expire_at_ms").isNull() | (F.col("expire_at_ms") > now_ms)).select(*(fresh[c].alias(c) for c in k.columns))
+    return here.join(gone, ["db", "key"], "left_anti").select(*k.columns).union(new), rows.select("ordinal", "key", "error")

@@ -30,6 +30,22 @@ def keyspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Types by turns.
+TYPES = ("string", "list", "hash", "set", "zset", "stream")
+
+
+def wide_keyspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of every type in three databases that share their names, with access counters; three in four have deadlines."""
+    at, i = millis("ts"), F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.floor(i / 7) % 6 + 1).cast("int"))
+    kind = F.when(i % 2 == 0, "string").otherwise(kind)
+    return table(spark, sf_dir, "events").select(
+        (i % 3).cast("int").alias("db"), F.concat(F.lit("k:"), F.floor(i / 3).cast("string")).alias("key"), kind.alias("type"),
+        F.when(kind == "string", F.col("value").cast("decimal(18,2)").cast("string")).alias("val"),
+        F.when(i % 4 != 0, at + i % 20 * DAY_MS).alias("expire_at_ms"), at.alias("access_ms"), (i * 7 % 256).cast("int").alias("freq"),
+    )
+
+
 def string_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values with integer, short and long encodings: customer numbers, customer names, document texts."""
     customers, docs = table(spark, sf_dir, "customer"), table(spark, sf_dir, "documents")

@@ -208,3 +208,103 @@ def test_extras(spark):
     assert got == [b"he", b"llo", b"lo", b"", b"h"]
     d = spark.range(1).select(extras.distance_m(F.lit(13.361389), F.lit(38.115556), F.lit(15.087269), F.lit(37.502669)).alias("d")).first()["d"]
     assert abs(d - 166274.2) < 0.2
+
+
+def wide(spark):
+    rows = [(d, f"k{i}", "string" if (i + d) % 3 else "list", f"v{i}" if (i + d) % 3 else None, (None, NOW + 5000, NOW - 5)[i % 3], NOW - i, (i * 5) % 7) for d in range(3) for i in range(40)]
+    return spark.createDataFrame(rows, "db int, key string, type string, val string, expire_at_ms long, access_ms long, freq int")
+
+
+def test_writes_keep_other_databases(spark):
+    k = wide(spark)
+    batch = spark.createDataFrame([(1, "k1", "x"), (2, "k1", "y"), (3, "new", "z")], "ordinal int, key string, val string")
+    got = {(r["db"], r["key"]): r["val"] for r in writes.mset(k, batch, NOW, db=1).collect()}
+    live = {(r["db"], r["key"]): r["val"] for r in k.collect() if r["expire_at_ms"] is None or r["expire_at_ms"] > NOW}
+    assert got == live | {(1, "k1"): "y", (1, "new"): "z"}
+    with pytest.raises(ValueError):
+        writes.set_keys(k, batch, NOW, only="ZZ")
+    with pytest.raises(ValueError):
+        writes.set_keys(k, batch, NOW, keep_ttl=True, deadline=F.lit(5))
+
+
+def test_renames_to_one_name(spark):
+    k = wide(spark).filter("key IN ('k0', 'k3', 'k6') AND db = 0")
+    pairs = spark.createDataFrame([(1, "k0", "z"), (2, "k3", "z"), (3, "k6", "k0")], "ordinal int, src string, dst string")
+    assert {(r["key"], r["access_ms"]) for r in writes.rename(k, pairs, NOW).collect()} == {("z", NOW - 3), ("k0", NOW - 6)}
+    assert {(r["key"], r["access_ms"]) for r in writes.rename(k, pairs, NOW, only_new=True).collect()} == {("z", NOW), ("k3", NOW - 3), ("k6", NOW - 6)}
+
+
+@pytest.mark.parametrize("policy", memory.POLICIES)
+@pytest.mark.parametrize("few", [1, 5, 100_000])
+def test_eviction_by_every_policy(spark, monkeypatch, policy, few):
+    monkeypatch.setattr(memory, "EDGE_ROWS", few)
+    monkeypatch.setattr(memory, "BUCKETS", 3 if few < 10 else 4096)
+    k = wide(spark).select("*", memory.score(policy, NOW).alias("s"), memory.cost().alias("b")) if policy != "noeviction" else wide(spark)
+    got = {(r["db"], r["key"]) for r in memory.evict(wide(spark), policy, 2500, NOW).collect()}
+    want, freed = set(), 0
+    for r in sorted(k.collect(), key=lambda r: (-(r["s"] or 0), r["key"], r["db"])) if policy != "noeviction" else ():
+        if policy.startswith("allkeys") or r["expire_at_ms"] is not None:
+            if freed < 2500:
+                want.add((r["db"], r["key"]))
+            freed += r["b"]
+    assert got == want
+
+
+def test_scan_pages_see_every_key(spark):
+    k = wide(spark).filter("db = 2")
+    cursor, seen, pages = 0, [], 0
+    while True:
+        page, cursor = keys.scan_page(k, NOW, cursor, count=7, shards=4, bits=3, db=2)
+        seen += [r["key"] for r in page.collect()]
+        pages += 1
+        if cursor == 0:
+            break
+    assert sorted(seen) == sorted(r["key"] for r in keys.live(k, NOW).collect()) and pages > 2
+    assert {r["key"] for r in keys.scan_page(k, NOW, 0, count=1000, shards=4, bits=3, db=2, kind="list")[0].collect()} == {r["key"] for r in keys.live(k, NOW).collect() if r["type"] == "list"}
+
+
+def test_restore_options(spark):
+    k = wide(spark)
+    from tessera.functions import codecs
+
+    rows = [(1, "k0", 0, codecs.seal(b"a")), (2, "n", 9, codecs.seal(b"b")), (3, "n", 0, codecs.seal(b"c")), (4, "m", -1, codecs.seal(b"d")), (5, "o", 0, codecs.seal(b"e")[:-1] + b"?")]
+    payloads = spark.createDataFrame(rows, "ordinal int, key string, ttl_ms long, payload binary")
+    kept, replies = server.restore_into(k, payloads, NOW, idle_s=3)
+    assert {(r["ordinal"], r["error"]) for r in replies.collect()} == {(1, "BUSYKEY"), (2, None), (3, "BUSYKEY"), (4, "invalid ttl"), (5, "bad payload")}
+    assert [(r["val"], r["expire_at_ms"], r["access_ms"], r["freq"]) for r in kept.filter("key = 'n'").collect()] == [("b", NOW + 9, NOW - 3000, 5)]
+    kept, replies = server.restore_into(k, payloads, NOW, replace=True, absolute=True, freq=200)
+    assert {(r["key"], r["val"], r["freq"]) for r in kept.filter("db = 0 AND key IN ('k0', 'n')").collect()} == {("k0", "a", 200), ("n", "c", 200)}
+    with pytest.raises(ValueError):
+        server.restore_into(k, payloads, NOW, freq=256)
+
+
+def test_notification_flags(spark):
+    changes = spark.createDataFrame([(0, "a", "set", "string"), (1, "b", "expired", "expired"), (1, "c", "new", "new")], "db int, key string, event string, class string")
+    got = lambda flags: sorted(tuple(r) for r in writes.notifications(changes, flags).collect())
+    assert got("Kx") == [("__keyspace@1__:b", "expired")] and got("E$") == [("__keyevent@0__:set", "a")]
+    assert got("g$lshzxetd") == [] and len(got("KEA")) == 4 and len(got("KEAn")) == 6
+    with pytest.raises(ValueError):
+        writes.notifications(changes, "KEq")
+
+
+def test_number_text_and_checksums():
+    from tessera.functions import codecs
+
+    text = {1e20: "1e+20", 0.00012345: "1.2345e-4", 123456.123456789: "1.23456123456789e+5", 1.2345678901234569e23: "123456789012345690000000", 5e-324: "5e-324", 3e-05: "0.00003", -1.5: "-1.5", 1e-7: "1e-7", 2.0**61: "2305843009213693952"}
+    assert {x: codecs.float_text(x) for x in text} == text
+    values = [bytes(range(n % 256)) * (1 + n % 3) for n in range(120)] + [b"123456789"]
+    assert codecs.crc64_many(values) == [codecs.crc64(v) for v in values] and codecs.crc64_many(values)[-1] == codecs.CRC64_CHECK
+
+
+def test_sort_of_words_fails_and_settings_have_their_names(spark):
+    rows = spark.createDataFrame([("l", "x"), ("l", "3")], "key string, elem string")
+    with pytest.raises(Exception, match="converted into double"):
+        C.sort_elements(rows).collect()
+    assert C.sort_errors(rows).count() == 1 and C.sort_elements(rows, alpha=True).count() == 2
+    names = "port databases maxmemory maxmemory-policy appendonly appendfsync requirepass timeout tcp-keepalive hash-max-listpack-entries hash-max-listpack-value list-max-listpack-size set-max-intset-entries set-max-listpack-entries zset-max-listpack-entries zset-max-listpack-value proto-max-bulk-len notify-keyspace-events shard-count save"
+    assert all(server.Settings().get(n) is not None for n in names.split()) and server.Settings().get("nothing") is None
+    info = {r["name"]: r for r in server.command_info(spark, ["DEL", "nope"]).collect()}
+    assert info["del"]["flags"] == ["write"] and info["del"]["tips"] == ["request_policy:multi_shard", "response_policy:agg_sum"] and None in info
+    assert keys.object_help()[0] == "ENCODING <key>" and scalars.shard_of("foo", 16384) == 12182 and scalars.shard_of("{bar}x", 16384) == 5061
+    with pytest.raises(ValueError):
+        keys.object_freq(rows, "allkeys-lru")
