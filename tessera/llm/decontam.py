@@ -84,10 +84,11 @@ class Automaton:
         return new
 
     def _mark(self, texts: list[list[int]]) -> None:
-        """full: for states of window length or more, the items with the last ``window`` words; short: whole short items that end here."""
+        """full: for states of window length or more, the items with the last ``window`` words; short: the short items that end here and are longer than what the suffix link stands for,
+        one entry for each different sequence, and ``above`` leads to the next suffix that has any. All of it grows with the words of the items, however many are equal or hold each other."""
         order = sorted(range(len(self.length)), key=self.length.__getitem__)
         at: dict[int, set[int]] = {}
-        short: dict[int, list[tuple[int, int]]] = {}
+        self.short: dict[int, dict[int, list[int]]] = {}
         self.base = [0] * len(order)  # the ancestor whose class holds the suffix of ``window`` words
         for state in order[1:]:
             above = self.link[state]
@@ -99,16 +100,15 @@ class Automaton:
                 if self.length[state] >= self.window and self.base[state]:
                     at.setdefault(state, set()).add(item)
             if words and len(words) < self.window:
-                short.setdefault(state, []).append((len(words), item))
+                self.short.setdefault(state, {}).setdefault(len(words), []).append(item)
         for state in reversed(order):  # items of longer strings also hold their suffixes
             above = self.link[state]
             if state in at and above > 0 and self.length[above] >= self.window:
                 at.setdefault(above, set()).update(at[state])
         self.full = {state: frozenset(found) for state, found in at.items() if self.base[state] == state}
-        self.short: dict[int, list[tuple[int, int]]] = {}
+        self.above = [0] * len(order)
         for state in order[1:]:
-            if found := short.get(state, []) + self.short.get(self.link[state], []):
-                self.short[state] = found
+            self.above[state] = self.link[state] if self.link[state] in self.short else self.above[self.link[state]]
 
     def _sketch(self, texts: list[list[int]]) -> None:
         """A bitmap of hashed word n-grams: text without a long enough stretch of them cannot hold a window."""
@@ -132,7 +132,7 @@ class Automaton:
 
     def run(self, words: list[int]) -> tuple[list[tuple[int, int]], set[int]]:
         """Merged hit ranges and items of one stretch."""
-        nexts, link, length, window, full, short, base = self.next, self.link, self.length, self.window, self.full, self.short, self.base
+        nexts, link, length, window, full, short, base, above = self.next, self.link, self.length, self.window, self.full, self.short, self.base, self.above
         state = matched = 0
         hits: list[tuple[int, int]] = []
         items: set[int] = set()
@@ -149,10 +149,13 @@ class Automaton:
             if matched >= window:
                 widest = window
                 items |= full[base[state]]
-            for n, item in short.get(state, ()):
-                if n <= matched:
-                    widest = max(widest, n)
-                    items.add(item)
+            at = state if state in short else above[state]
+            while at:
+                for n, equal in short[at].items():
+                    if n <= matched:
+                        widest = max(widest, n)
+                        items.update(equal)
+                at = above[at]
             if widest:
                 start = i + 1 - widest
                 while hits and hits[-1][1] >= start:
