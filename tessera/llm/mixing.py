@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 DataFrame functions only. Documents are dealt into shards by a hash of their id, so a source that holds
-a third of all rows is spread over every shard; the number of shards follows the corpus (``shard_words``).
-A shard's blocks all have the same number of words. Seats (blocks to take) go to the shard's sources by highest
+a third of all rows is spread over every shard; the number of shards follows the corpus (``shard_words``). A source too small for all of them is spread over as many as it has 64ths of a shard's words for, one at
+least, so its part in a shard is never a sliver that rounds to nothing in each.
+A shard's blocks all have the same number of words, a sixteenth of its smallest source's part or less. Seats (blocks to take) go to the shard's sources by highest
 quotients ``votes / (2 * seats + 1)``; which blocks a source gives is drawn by a seeded permutation.
 """
 
@@ -16,6 +17,8 @@ from tessera.llm.durable import settle
 
 SHARD_WORDS = 4_000_000
 BLOCKS_PER_SHARD = 4096
+#: Parts that a shard's words would make, and blocks that the smallest part is cut into at least.
+PARTS_PER_SHARD, PART_BLOCKS = 64, 16
 #: Multipliers of the block permutation: primes above any number of blocks in a shard and source.
 STRIDES = (15485863, 15485867, 15485917, 15485927, 15485933, 15485941, 15485959, 15485989)
 
@@ -60,7 +63,7 @@ def quotas(parts: DataFrame, goals: DataFrame, blocks_per_shard: int) -> DataFra
     shard = W.partitionBy("shard")
     votes = (
         parts.join(goals, parts["source"].eqNullSafe(goals["source"])).drop(goals["source"])
-        .withColumn("block", F.greatest(F.lit(1), F.floor(F.sum("part_size").over(shard) / blocks_per_shard)).cast("long"))
+        .withColumn("block", F.greatest(F.lit(1), F.least(F.floor(F.sum("part_size").over(shard) / blocks_per_shard), F.floor(F.min(F.when(F.col("part_size") > 0, F.col("part_size"))).over(shard) / PART_BLOCKS))).cast("long"))
         .withColumn("votes", F.when(F.col("source_size") > 0, F.col("target") * F.col("part_size") / F.col("source_size")).otherwise(F.lit(0.0)))
         .withColumn("fair", F.col("votes") / F.col("block"))
         .withColumn("seats", F.round(F.sum("fair").over(shard)).cast("long"))
@@ -93,18 +96,22 @@ def mix(
     """Rows (doc_id, source, size, source_size, target, taken), one for each row of ``docs``.
 
     Null or empty text has size 0 and gives nothing; null is a source of its own, the last. Rows with equal ids go
-    to one shard and count each on its own; a null id counts as the empty text. Other columns are not read. An empty table gives an
+    to one shard and count each on its own; rows with null ids are dealt by their texts. Very long texts are cut by blocks like any other. Other columns are not read. An empty table gives an
     empty result. ``taken`` is at most ``cap`` (2 or less) times the size.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    spot = _hash(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    spot = _hash(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.md5(text_col), F.lit("")))
     rows = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), spot.alias("spot")), "mix-sizes")
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    sources = settle(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     n_shards = max(1, -(-total // shard_words))
-    rows = rows.withColumn("shard", F.pmod("spot", F.lit(n_shards)))
+    home = _hash(F.lit(seed), F.lit("home"), F.coalesce("source", F.lit("")))
+    spread = sources.select(F.col("source").alias("h_source"), F.least(F.lit(n_shards), F.greatest(F.lit(1), F.floor(F.col("source_size") / max(1, shard_words // PARTS_PER_SHARD)))).cast("long").alias("wide"), home.alias("home"))
+    # a few rows a source: Spark broadcasts them while they are few, and splits large sources where it does not
+    rows = rows.join(spread, F.col("source").eqNullSafe(F.col("h_source"))).withColumn("shard", F.pmod(F.pmod("spot", "wide") + F.pmod("home", F.lit(n_shards)), F.lit(n_shards))).drop("h_source", "wide", "home")
 
     parts = settle(rows.groupBy("shard", "source").agg(F.sum("size").alias("part_size")), "mix-parts")
-    goals = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, share, cap)
+    goals = targets(sources, weights, share, cap)
     gives = settle(quotas(parts, goals, blocks_per_shard), "mix-quotas").withColumnsRenamed({"shard": "q_shard", "source": "q_source"})
 
     joined = rows.join(gives, (rows["shard"] == gives["q_shard"]) & rows["source"].eqNullSafe(gives["q_source"]))
@@ -134,9 +141,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 WITH rows AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS spot FROM documents),
+         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, md5(text), '')), 1, 15))::BIGINT AS spot FROM documents),
 n AS (SELECT greatest(1, ceil(coalesce(sum(size), 0) / {SHARD_WORDS}.0))::BIGINT AS n FROM rows),
-dealt AS (SELECT rows.*, spot % n AS shard FROM rows, n),
+homes AS (SELECT source, least(n, greatest(1, sum(size)::BIGINT // {SHARD_WORDS // PARTS_PER_SHARD})) AS wide, ('0x' || substr(md5('mix-1:home:' || coalesce(source, '')), 1, 15))::BIGINT % n AS home, n FROM rows, n GROUP BY source, n),
+dealt AS (SELECT rows.*, (spot % wide + home) % n AS shard FROM rows JOIN homes ON rows.source IS NOT DISTINCT FROM homes.source),
 parts AS (SELECT shard, source, sum(size)::BIGINT AS part_size FROM dealt GROUP BY ALL),
 srcs AS (SELECT source, sum(part_size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank FROM parts GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((source_rank - 1) % 3 + 1)::INT] AS weight, source_size * 2.0::DOUBLE AS most FROM srcs),
@@ -145,7 +153,7 @@ lv AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(su
 goals AS (SELECT source, source_rank, source_size, CASE WHEN water IS NULL THEN most ELSE least(most, water * weight) END AS target
   FROM (SELECT *, max(CASE WHEN most / weight > level THEN level END) OVER () AS water FROM lv)),
 v1 AS (SELECT p.shard, p.source, p.part_size, g.source_rank, g.source_size, g.target,
-         greatest(1, floor(sum(part_size) OVER (PARTITION BY shard) / {BLOCKS_PER_SHARD}.0))::BIGINT AS block,
+         greatest(1, least(floor(sum(part_size) OVER (PARTITION BY shard) / {BLOCKS_PER_SHARD}.0), floor(min(part_size) FILTER (part_size > 0) OVER (PARTITION BY shard) / {PART_BLOCKS}.0)))::BIGINT AS block,
          CASE WHEN g.source_size > 0 THEN g.target * p.part_size / g.source_size ELSE 0.0 END AS votes
   FROM parts p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source),
 v2 AS (SELECT *, votes / block AS fair, round(sum(votes / block) OVER (PARTITION BY shard))::BIGINT AS seats FROM v1),
