@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
@@ -167,7 +166,7 @@ def forest(points: list[np.ndarray], sizes: list[int], percent: int, test=None)
 
 
 def _set_maker(width: int, percent: int, sent):
-    """For mapInArrow over (id, text): size, signature, first shingles in the common order, point."""
+    """For mapInArrow over (name, text): size, signature, first shingles in the common order, point."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = sent.value
@@ -183,7 +182,7 @@ def _set_maker(width: int, percent: int, sent):
             bounds = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(keys))), pa.array(points, pa.binary())],
-                ["id", "n", "one", "two", "keys", "point"],
+                ["name", "n", "one", "two", "keys", "point"],
             )
 
     return make
@@ -262,39 +261,44 @@ def jaccard_join(
 
     Two documents link when 100 * shared shingles >= percent * all shingles of both; a component is what links reach. Null and empty texts, and texts of white
     space, have no shingles and link with nothing. Rows with equal texts link whatever their ids, repeated ids
-    included; a row with a null id gets the component of its set, or null where no row with that set has an id. An empty table gives an empty result. Other columns are not read.
+    included; a row with a null id takes part as any other and gets the component of its set, or null where no row reached by links has an id. Very long texts are read whole, in pieces of a few MB at once between texts.
+    Ties of sizes and shingles change nothing in the result. An empty table gives an empty result. Other columns are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # a row is named by its id and its text's hash, so that rows without an id take part, too
+    texts = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("r")).alias("name"), F.col(text_col).alias("text"))
     counted = texts.mapInArrow(_cell_counter(width), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     load = np.zeros(1 << CELL_BITS, np.int64)
     load[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     place = np.empty(1 << CELL_BITS, np.uint64)
     place[np.argsort(load, kind="stable")] = np.arange(1 << CELL_BITS, dtype=np.uint64)
     maker = _set_maker(width, percent, spark.sparkContext.broadcast(place))
-    sets = settle(texts.mapInArrow(maker, "id long, n long, one long, two long, keys array<long>, point binary"), "jaccard-sets")
-
-    classes = sets.filter("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("point").alias("point"))
-    classes = settle(classes.withColumnRenamed("two", "cid"), "jaccard-classes")
-    spots = classes.filter("rep IS NOT NULL").select(F.explode("keys").alias("key"), "cid")
-    by_key = W.partitionBy("key").orderBy("cid")
-    shared = spots.withColumn("alone", F.lag("cid").over(by_key).isNull() & F.lead("cid").over(by_key).isNull()).filter("NOT alone").select("key", "cid")
+    sets = settle(texts.mapInArrow(maker, "name struct<id:long,r:long>, n long, one long, two long, keys array<long>, point binary"), "jaccard-sets")
+
+    least_name = F.min(F.struct(F.col("name.id").isNull().alias("none"), F.col("name.id").alias("id"), F.col("name.r").alias("r"))).alias("least")
+    classes = sets.filter("n > 0").groupBy("one", "two", "n").agg(least_name, F.first("keys").alias("keys"), F.first("point").alias("point"))
+    classes = settle(classes.select("one", F.col("two").alias("cid"), "n", F.col("least.id").alias("rep"), F.col("least.r").alias("rep_r"), "keys", "point"), "jaccard-classes")
+    # shingles that one class alone has are counted out by partial sums, and the others joined back, which splits a common one
+    spots = classes.select(F.explode("keys").alias("key"), "cid")
+    shared = spots.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("key").alias("s"))
+    shared = settle(spots.join(shared.hint("shuffle_merge"), F.col("key") == F.col("s")).select("key", "cid"), "jaccard-keys")
     points = classes.select(F.col("cid").alias("c"), "n", "point")
     rows = shared.join(points.hint("shuffle_merge"), F.col("cid") == F.col("c")).select("key", "cid", "n", "point")
     near = within_groups(rows, _bucket_worker(percent), limit=bucket_rows, order="n")
+    drop(shared)
 
     closed = components(near)
-    asked = classes.select("cid", "rep").join(closed, F.col("cid") == F.col("node")).select("root", "cid", "rep")
-    fetched = texts.join(asked.hint("shuffle_merge"), F.col("id") == F.col("rep")).select("root", "cid", "text")
+    asked = classes.select("cid", "rep", "rep_r").join(closed, F.col("cid") == F.col("node")).select("root", "cid", "rep", "rep_r")
+    fetched = texts.join(asked.hint("shuffle_merge"), (F.col("name.r") == F.col("rep_r")) & F.col("name.id").eqNullSafe(F.col("rep"))).select("root", "cid", "text")
     links = within_groups(fetched, _group_worker(width, percent), limit=group_bytes, order="cid", weigh=lambda row: len(row[1]))
     found = components(links).select("node", F.col("root").alias("group"))
 
     named = classes.select("one", "cid", "n", "rep").join(found, F.col("cid") == F.col("node"), "left")
     least = named.filter("group IS NOT NULL").groupBy("group").agg(F.min("rep").alias("least")).withColumnRenamed("group", "g")
     named = named.join(least, F.col("group") == F.col("g"), "left").select(F.col("one").alias("o"), F.col("cid").alias("c"), F.col("n").alias("m"), F.coalesce("least", "rep").alias("component"))
-    full = sets.filter("n > 0").select("id", "n", "one", "two")
+    full = sets.filter("n > 0").select("name.id", "n", "one", "two")
     full = full.join(named.hint("shuffle_merge"), (F.col("one") == F.col("o")) & (F.col("two") == F.col("c")) & (F.col("n") == F.col("m")))
-    empty = sets.filter("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    empty = sets.filter("n = 0").select("name.id", "n").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     result = settle(full.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).union(empty), "jaccard-result")
     drop(sets, classes, near, links)
     return result
@@ -303,8 +307,9 @@ def jaccard_join(
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id. Rows with null ids stay unless their set has a row with an id; of rows equal in id and text one stays."""
     found = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
-    keep = found.filter("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.join(keep.hint("shuffle_merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep"))).drop("_keep")
+    name = next(c for c in (f"keep{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    keep = found.filter("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    rows = docs.join(keep.hint("shuffle_merge"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(name))).drop(name)
     return rows.dropDuplicates([id_col, text_col])
 
 
