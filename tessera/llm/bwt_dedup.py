@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
@@ -277,16 +276,16 @@ def _cutter(length: int):
 def repeats(texts: DataFrame, length: int, batch_bytes: int) -> DataFrame:
     """(r, start, stop): byte ranges of the texts (r, text) that repeated windows cover; ranges may overlap."""
     runs = texts.filter(F.octet_length("text") >= length).mapInArrow(_runner(length), "key long, f long, flanks long, r long, span long")
-    by_key = W.partitionBy("key").orderBy("f")
-    near = runs.withColumn("back", F.lag("f").over(by_key)).withColumn("ahead", F.lead("f").over(by_key)).filter("back IS NOT NULL OR ahead IS NOT NULL")
-    same = (F.col("back").eqNullSafe(F.col("f")) | F.col("ahead").eqNullSafe(F.col("f"))).alias("same")
-    first = (~F.col("back").eqNullSafe(F.col("f"))).alias("first")
-    near = settle(near.select("key", "f", "flanks", "r", "span", same, first), "runs")
-
-    # one of each run, if another run under its key has one of its flanks
-    ones = near.filter("first")
+    # counted by partial sums: equal runs, and one of each with how many there are
+    ones = settle(runs.groupBy("key", "f").agg(F.count("*").alias("n"), F.min(F.struct("r", "span", "flanks")).alias("one")), "runs")
+    twice = settle(ones.filter("n > 1").select(F.col("key").alias("k"), F.col("f").alias("g")), "equal-runs")
+    others = ones.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m")).filter("m > 1").select("k")
+    different = settle(ones.join(others.hint("shuffle_merge"), F.col("key") == F.col("k")).select("key", "f", "n", "one.*"), "different-runs")
+    drop(ones)
+
+    # of different runs under one key, those that have a flank of another
     flank = F.explode(F.array(F.shiftright("flanks", 32) * 2, F.col("flanks").bitwiseAND(0xFFFFFFFF) * 2 + 1)).alias("flank")
-    sides = ones.select("key", "f", "flanks", "r", "span", flank).filter("flank NOT IN (0, 1)")
+    sides = different.select("key", "f", "flanks", "r", "span", flank).filter("flank NOT IN (0, 1)")
     shared = sides.groupBy("key", "flank").agg(F.min("f").alias("low"), F.max("f").alias("high")).filter("low <> high")
     shared = shared.select(F.col("key").alias("k"), F.col("flank").alias("l"))
     asked = sides.join(shared.hint("shuffle_merge"), (F.col("key") == F.col("k")) & (F.col("flank") == F.col("l"))).select("r", "key", "f", "span").distinct()
@@ -299,12 +298,13 @@ def repeats(texts: DataFrame, length: int, batch_bytes: int) -> DataFrame:
         ranges = ranges.union(_by_window(large, length))
 
     start, count = F.shiftright("span", 16), F.col("span").bitwiseAND(0xFFFF)
-    whole = near.filter("same").select("r", start.alias("start"), (start + count + (length - 1)).alias("stop"))
+    same = runs.join(twice.hint("shuffle_merge"), (F.col("key") == F.col("k")) & (F.col("f") == F.col("g")))
+    whole = same.select("r", start.alias("start"), (start + count + (length - 1)).alias("stop"))
     ranges = ranges.withColumnsRenamed({"key": "k", "f": "g"})
-    parts = near.filter("NOT same").join(ranges.hint("shuffle_merge"), (F.col("key") == F.col("k")) & (F.col("f") == F.col("g")))
+    parts = different.filter("n = 1").join(ranges.hint("shuffle_merge"), (F.col("key") == F.col("k")) & (F.col("f") == F.col("g")))
     parts = parts.select("r", (start + F.col("s")).alias("start"), (start + F.col("e") + (length - 1)).alias("stop"))
     merged = settle(whole.union(parts).distinct(), "repeated-ranges")
-    drop(near, found)
+    drop(twice, different, found)
     return merged
 
 
