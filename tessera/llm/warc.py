@@ -14,13 +14,12 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
-from tessera.llm.durable import new_path
+from tessera.llm.durable import new_path, settle
 
 #: Fixed values of the formats.
 MAGIC = b"\x1f\x8b\x08"
@@ -30,6 +29,9 @@ URN = "urn:page:"
 EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
 
 MIN_REVISIT_BYTES = 100
+#: Hadoop would inflate what is named ``.gz`` before anything looks for the magic; this codec hands its bytes on as they are.
+#: (The second name is that of builds which rename packages.)
+RAW = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec", "io.compress.passthrough.extension": ".gz", "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".gz"}
 LEVEL = 3
 
 
@@ -209,24 +211,28 @@ def _reader(payloads: bool):
 
 
 def _joiner(payloads: bool):
-    """For applyInPandas over the handed pieces of a file: members that reach over the ends of ranges."""
+    """For mapInArrow over the handed pieces (path, start, order, piece), sorted so: members that reach over the ends of ranges, one at a time."""
 
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        last = None
-        for piece in frame.sort_values(["start", "order"])["piece"]:
-            fresh = _Member.open(piece)
-            if fresh is not None:
-                last = fresh
-            elif last is not None:
-                try:
-                    last.grow(piece)
-                except zlib.error:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, piece in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if path != at:
+                    at, last = path, None
+                fresh = _Member.open(piece)
+                if fresh is not None:
+                    last = fresh
+                elif last is not None:
+                    try:
+                        last.grow(piece)
+                    except zlib.error:
+                        last = None
+                if last is not None and last.whole:
+                    rows.append(parse(b"".join(last.out), payloads))
                     last = None
-            if last is not None and last.whole:
-                rows.append(parse(b"".join(last.out), payloads))
-                last = None
-        return pd.DataFrame(rows, columns=list(FIELDS))
+            columns = zip(*rows, strict=True) if rows else [()] * len(FIELDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], list(FIELDS))
 
     return join
 
@@ -234,14 +240,16 @@ def _joiner(payloads: bool):
 def read(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
     """Records of the gzipped WARC files in ``path``; ``payloads=False`` leaves the payloads (not their sizes and digests) out.
 
+    Files are split into ranges whatever they are named, but for names that end in ``.gz``: Spark's text source gives such a file to one task, which streams it. A record is held in memory whole, a file is not.
     Members that are not WARC records are passed over; a record whose compressed data is broken gives a row of type ``damaged``. Of a
     revisit, digest and size are those of the payload it stands for. Empty files give no rows.
     """
-    lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    lines = spark.read.options(**RAW).option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     pieces = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("piece"))
-    found = pieces.mapInArrow(_reader(payloads), f"{SHAPE}, path string, start long, order long, piece binary")
-    handed = found.filter("piece IS NOT NULL").select("path", "start", "order", "piece")
-    return found.filter("piece IS NULL").select(*FIELDS).union(handed.groupBy("path").applyInPandas(_joiner(payloads), SHAPE))
+    # written once, so that nothing is decoded twice: records, and the few pieces that go to the second step
+    found = settle(pieces.mapInArrow(_reader(payloads), f"{SHAPE}, path string, start long, order long, piece binary"), "warc-records")
+    handed = found.filter("piece IS NOT NULL").select("path", "start", "order", "piece").repartition("path").sortWithinPartitions("path", "start", "order")
+    return found.filter("piece IS NULL").select(*FIELDS).union(handed.mapInArrow(_joiner(payloads), SHAPE))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

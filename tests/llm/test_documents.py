@@ -93,6 +93,18 @@ def test_count_tree_loses_no_partner():
                 assert j in found
 
 
+def test_links_go_through_rows_without_an_id(spark):
+    rng = random.Random(17)
+    words = cases.words(rng, 200, 90_000).split()
+    chain = [" ".join(words[i * 7 : i * 7 + 120]) for i in range(7)]  # neighbours are linked, others are not
+    shape = "doc_id long, text string, keep0 int, _keep int"
+    rows = [(None if i % 2 else i + 5, t, 1, 2) for i, t in enumerate(chain)] + [(None, cases.words(rng, 90, 90_000), 1, 2), (99, None, 1, 2), (None, None, 1, 2)]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, shape)).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter([(5, 5), (7, 5), (9, 5), (11, 5), (None, 5), (None, 5), (None, 5), (None, None), (99, 99), (None, None)])
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, shape))
+    assert kept.columns == ["doc_id", "text", "keep0", "_keep"] and {r["doc_id"] for r in kept.collect()} == {5, 99, None}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(70)] + [(500, i) for i in range(501, 540)] + [(7, 7), (900, 901), (901, 900)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -513,6 +525,33 @@ def test_toxicity_backs_off_to_continuation_counts(spark):
     assert len(want) == sum(got.values()) and np.abs(np.array(want) - np.array(sorted(got.elements()))).max() <= 2
 
 
+def test_short_items_that_hold_each_other(spark):
+    import pickle
+
+    items = [(f"t{i}", "the") for i in range(2000)] + [(f"u{i}", f"w{i} the end of item {i} and the rest of its words the {i} the") for i in range(1200)]
+    docs = [(1, "so the end"), (2, "w7 the end of item 7 and the rest of its words the 7 the"), (3, "nothing here")]
+    auto = next(decontam.automata(spark.createDataFrame(items, "item_id string, text string"), 13, 10**6, "item_id", "text"))
+    assert len(pickle.dumps(auto)) < 20e6
+    found = {r["row"]["doc_id"]: (r["n_hit"], r["items"]) for r in decontam.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).withColumn("n_hit", decontam.n_hit()).collect()}
+    the = sorted(f"t{i}" for i in range(2000))
+    assert found[1] == (1, the) and found[2] == (15, [*the, "u7"]) and found[3] == (0, [])
+
+
+def test_mixing_small_sources_over_many_shards(spark):
+    """Sources of a few hundred words among ten shards: what is taken comes near the target all the same."""
+    rng = random.Random(21)
+    rows = [(i, cases.words(rng, 200), "", "s1" if i % 3 else "s2", 0, "", 0.0, 0, 0) for i in range(400)]
+    rows += [(1000 + i, cases.words(rng, 30), "", s, 0, "", 0.0, 0, 0) for s in ("a", "t1", "t2", "z") for i in range(12)] + [(2000 + i, "one two three", "", None, 0, "", 0.0, 0, 0) for i in range(5)]
+    got = mixing.mix(cases.frame(spark, rows), shard_words=8_000, blocks_per_shard=256).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+    taken, goals = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        goals[r["source"]] = r["target"]
+    for source, goal in goals.items():
+        assert abs(taken[source] - goal) <= max(3, 0.08 * goal), (source, taken[source], goal)
+
+
 @pytest.mark.parametrize("options", [{}, {"shard_words": 500, "blocks_per_shard": 20}])
 def test_mixing(spark, options):
     rows = cases.documents()

@@ -42,6 +42,29 @@ def expected(rows):
     return sorted(out, key=str)
 
 
+def test_warc_files_with_the_usual_name(spark, tmp_path):
+    """Members of ordinary writers, in files named .warc.gz, with small splits."""
+    import gzip
+
+    want = []
+    for n in range(3):
+        out = b""
+        for i in range(40):
+            body = (b"%d-%d " % (n, i)) * (i * 37 % 300 + 1) + warc.MAGIC * (i % 3)
+            head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r{n}-{i}>\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+            out += gzip.compress(head + body + b"\r\n\r\n", compresslevel=i % 10)
+            want.append((f"r{n}-{i}", body))
+        (tmp_path / f"part-{n}.warc.gz").write_bytes(out)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in (old, "700b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            found = warc.read(spark, str(tmp_path))
+            assert sorted((r["record_id"], bytes(r["payload"])) for r in found.collect()) == sorted(want)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 @pytest.mark.parametrize("split", ["134217728", "4000", "700"])
 def test_warc_round_trip(spark, split):
     rows, frame = pages(spark)
