@@ -33,6 +33,8 @@ FLOOR = 0.01
 BINS = 512
 #: Symbols that stand before and after a word; no word has them.
 START, END = 1, 2
+#: Slots of a map of labelled ids.
+ID_SLOTS = 1 << 19
 #: Different stretches that a task remembers at once.
 GIVEN = 2_000_000
 #: Discount of the shared model; evidence is kept in whole numbers of 1 / UNIT nats, so that sums do not depend on their order.
@@ -197,6 +199,14 @@ def calibrate(x: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> tuple[float
     return max(float(a), 0.0), float(b)
 
 
+def _may_be_among(rows: DataFrame, column: str) -> Column:
+    """Whether a value's slot of ``ID_SLOTS`` is taken by some row: false only for values that no row has. The map is a literal of one byte a slot."""
+    slot = F.pmod(F.xxhash64(column), F.lit(ID_SLOTS))
+    taken = np.zeros(ID_SLOTS, np.uint8)
+    taken[rows.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()] = 1
+    return F.substring(F.lit(taken.tobytes()), slot.cast("int") + 1, F.lit(1)) != F.lit(b"\x00")
+
+
 def score(
     docs: DataFrame, labels: DataFrame, fold: Column, *, order: int = ORDER, discount: float | None = DISCOUNT, margin: float = MARGIN, bits: int = SLOT_BITS,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -210,7 +220,8 @@ def score(
     spark = docs.sparkSession
     known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     taught = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), fold.alias("_fold")).filter("_fold IS NOT NULL AND text IS NOT NULL")
-    # the same plan at every size: labels grow with the corpus, so they are never broadcast
+    # the same plan at every size: labels grow with the corpus, so they are never broadcast; a map of fixed size spares most texts without a label the shuffle
+    taught = taught.filter(_may_be_among(known, "_id"))
     taught = settle(taught.join(known.hint("shuffle_merge"), "_id").select((F.col("_fold") * 2 + F.col("_label")).cast("long").alias("g"), "text"), "toxicity-taught")
     numbers = {r["g"]: r["count"] for r in taught.groupBy("g").count().collect()}
     ones, everyone = sum(n for g, n in numbers.items() if g % 2), sum(numbers.values())
