@@ -6,8 +6,9 @@ which an event counts once for each symbol that stands before it. A whole event
 A word's evidence is its log-likelihood under the toxic model less that under the ordinary one; a text's is the mean over its words of
 the evidence above ``margin``, which a few insults in a long text still move and thousands of ordinary words do not.
 
-Counts are taken over all labelled rows. Words, events and contexts are rows of tables that grow with the corpus. Different words meet the events, and texts meet only the words
-with evidence above the margin: a broadcast bitmap of fixed size passes over the others, and the join that follows is exact.
+Counts are taken over all labelled rows. Words, events and contexts are rows of tables that grow with the corpus. Only words that may have evidence above the margin are sent to meet the
+events, and texts meet only the words that have it: broadcast tables of fixed size pass over the others, and the joins that follow are exact. The table for words holds the evidence of each
+event, by its hash; events that share a slot count there as the largest of them, so a word's sum is never too small, and with more events than slots more words are sent.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ MARGIN = 2.0
 SLOT_BITS = 21
 FLOOR = 0.01
 BINS = 512
+#: Slots of the table of events that bounds a word's evidence.
+EVENT_BITS = 21
 #: Symbols that stand before and after a word; no word has them.
 START, END = 1, 2
 #: Slots of a map of labelled ids.
@@ -85,31 +88,90 @@ def _vocabulary(order: int, once: bool = False):
     return run
 
 
+def _spelled(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each event of words with columns (name, word, skip, closes): its word's row, its last ``order`` symbols and which of these the word has."""
+    n, skip, closes = batch.num_rows, batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+    opens = (skip == 0).astype(np.int64)
+    size = np.diff(offsets)
+    ends = np.cumsum(size + opens + closes)
+    starts = np.r_[0, ends[:-1]]
+    symbols = np.full(int(ends[-1]) if n else 0, END, np.uint8)  # what no word fills is an end, or
+    symbols[starts[opens > 0]] = START
+    row = np.repeat(np.arange(n), size)
+    symbols[np.arange(len(data)) + (starts + opens - offsets[:-1])[row]] = data
+    owner = np.repeat(np.arange(n), ends - starts)
+    at = np.flatnonzero(np.arange(len(symbols)) >= (starts + np.where(opens > 0, 1, skip))[owner])
+    own = owner[at]
+    spots = at[:, None] - np.arange(order - 1, -1, -1)[None, :]
+    return own, symbols[np.maximum(spots, 0)], spots >= starts[own][:, None]
+
+
+def _as_binary(symbols: np.ndarray, inside: np.ndarray) -> pa.Array:
+    """The symbols that are inside, a row each."""
+    bounds = np.r_[0, np.cumsum(inside.sum(axis=1))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(symbols), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(symbols[inside].tobytes())])
+
+
+def _hashed(symbols: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """A hash of each row's symbols, alike for equal ones; different ones of up to 7 symbols never meet."""
+    value = np.zeros(len(symbols), np.uint64)
+    for j in range(symbols.shape[1]):
+        value = value * np.uint64(257) + np.where(inside[:, j], symbols[:, j].astype(np.uint64) + np.uint64(1), np.uint64(0))
+    return textkit.mixed(value)
+
+
 def _speller(order: int):
     """For mapInArrow over (name, word, skip, closes, g0 to g3): a row for each event: its symbol with the symbols before it, ``order`` at most, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in textkit.pieces(batches, most=1 << 17):
-            n, skip, closes = batch.num_rows, batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-            opens = (skip == 0).astype(np.int64)
-            size = np.diff(offsets)
-            ends = np.cumsum(size + opens + closes)
-            starts = np.r_[0, ends[:-1]]
-            symbols = np.full(int(ends[-1]) if n else 0, END, np.uint8)  # what no word fills is an end, or
-            symbols[starts[opens > 0]] = START
-            row = np.repeat(np.arange(n), size)
-            symbols[np.arange(len(data)) + (starts + opens - offsets[:-1])[row]] = data
-            owner = np.repeat(np.arange(n), ends - starts)
-            at = np.flatnonzero(np.arange(len(symbols)) >= (starts + np.where(opens > 0, 1, skip))[owner])
-            own = owner[at]
-            before = np.arange(order - 1, -1, -1)
-            spots = at[:, None] - before[None, :]
-            inside = spots >= starts[own][:, None]
-            grams = symbols[np.maximum(spots, 0)][inside]
-            bounds = np.r_[0, np.cumsum(inside.sum(axis=1))].astype(np.int32)
-            column = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(grams.tobytes())])
+            own, symbols, inside = _spelled(batch, data, offsets, order)
             taken = pa.array(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), column, *(batch.column(i).take(taken) for i in range(4, 8))], ["name", "gram", "g0", "g1", "g2", "g3"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), _as_binary(symbols, inside), *(batch.column(i).take(taken) for i in range(4, 8))], ["name", "gram", "g0", "g1", "g2", "g3"])
+
+    return run
+
+
+def _event_hashes(order: int):
+    """For mapInArrow over (e0, gram, e1): (h, e0, e1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in textkit.pieces(batches, most=1 << 17):
+            size = np.diff(offsets)
+            inside = np.arange(order)[None, :] >= (order - size)[:, None]
+            symbols = np.zeros(inside.shape, np.uint8)
+            symbols[inside] = data
+            yield pa.RecordBatch.from_arrays([pa.array(_hashed(symbols, inside).view(np.int64)), batch.column(0), batch.column(2)], ["h", "e0", "e1"])
+
+    return run
+
+
+def event_slots(known: DataFrame, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each of 2**bits slots, by the first bits of an event's hash: the hash of the only event there, whether there are several, and e0 and e1, of several the largest or 0."""
+    hashed = known.select("e0", "gram", "e1").mapInArrow(_event_hashes(order), "h long, e0 long, e1 long")
+    rows = hashed.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("slot")).agg(F.max("h").alias("h"), (F.count("*") > 1).alias("many"), F.max("e0").alias("e0"), F.max("e1").alias("e1")).toArrow()
+    slot, many = rows.column("slot").to_numpy(), rows.column("many").to_numpy()
+    hashes, several, most = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, bool), np.zeros((2, 1 << bits), np.int32)
+    hashes[slot], several[slot] = rows.column("h").to_numpy(), many
+    for i in range(2):
+        e = rows.column(f"e{i}").to_numpy()
+        most[i, slot] = np.where(many, np.maximum(e, 0), e)
+    return hashes, several, most
+
+
+def _sieve(sent, order: int, bits: int, least: int):
+    """For mapInArrow over (name, word, skip, closes): (name, gram) of the events of words whose evidence may be above ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, several, most = sent.value
+        for batch, data, offsets in textkit.pieces(batches, most=1 << 17):
+            own, symbols, inside = _spelled(batch, data, offsets, order)
+            h = _hashed(symbols, inside)
+            slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+            found = several[slot] | (hashes[slot] == h.view(np.int64))
+            sums = [np.bincount(own[found], weights=e[slot[found]], minlength=batch.num_rows) for e in most]
+            wanted = (np.maximum(*sums) > least)[own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own[wanted])), _as_binary(symbols[wanted], inside[wanted])], ["name", "gram"])
 
     return run
 
@@ -233,7 +295,10 @@ def score(
     words = settle(words.groupBy("name", "word", "skip", "closes").agg(*(F.sum(f"g{i}").alias(f"g{i}") for i in range(4))), "toxicity-words")
     events = words.mapInArrow(_speller(order), "name long, gram binary, g0 long, g1 long, g2 long, g3 long")
     known = evidence(events, discount)
-    sums = events.select("name", "gram").join(known.filter("e0 <> 0 OR e1 <> 0").hint("shuffle_merge"), "gram").groupBy("name").agg(F.sum("e0").alias("e0"), F.sum("e1").alias("e1"))
+    telling = known.filter("e0 <> 0 OR e1 <> 0")
+    bound = spark.sparkContext.broadcast(event_slots(telling, order, EVENT_BITS))
+    events = words.select("name", "word", "skip", "closes").mapInArrow(_sieve(bound, order, EVENT_BITS, round(margin * UNIT)), "name long, gram binary")
+    sums = events.join(telling.hint("shuffle_merge"), "gram").groupBy("name").agg(F.sum("e0").alias("e0"), F.sum("e1").alias("e1"))
     above = [F.greatest(F.col(f"e{i}") - F.lit(round(margin * UNIT)), F.lit(0)).cast("long").alias(f"w{i}") for i in range(2)]
     weights = settle(sums.select("name", *above).filter("w0 > 0 OR w1 > 0"), "toxicity-weights")
     drop(words, known)

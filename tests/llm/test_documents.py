@@ -490,6 +490,17 @@ def test_toxicity_reads_whole_words_and_unspaced_text(spark):
     assert np.mean(right) > 0.95
 
 
+def test_toxicity_does_not_depend_on_the_slots_of_events(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    scores = []
+    for bits in (21, 3):  # an event a slot mostly, and hundreds
+        monkeypatch.setattr(toxicity, "EVENT_BITS", bits)
+        scores.append({r["id"]: r["score"] for r in toxicity.score(docs, labels, (F.col("doc_id") % 4 == 0).cast("int")).select(F.col("row.doc_id").alias("id"), "score").collect()})
+    assert scores[0] == scores[1]
+    assert len({round(s, 6) for s in scores[0].values()}) > 10
+
+
 def test_toxicity_backs_off_to_continuation_counts(spark):
     # (text, group): group 0 ordinary and 1 toxic of fold 0, 3 toxic of fold 1
     texts = [("abcab xbc", 0), ("abd xbc xbc", 1), ("abcab ybd", 1), ("zzb", 3)]
