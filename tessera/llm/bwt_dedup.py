@@ -340,7 +340,8 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, text_col: str = "text", keep
     (null unless ``keep_text``; characters that lose some of their bytes go), and figures of the bytes.
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in this text or another; all copies go. Null is as empty, and null texts stay null.
-    Texts shorter than ``length`` keep everything. Rows that are equal in all columns count as two texts. An empty table gives an empty result.
+    Texts shorter than ``length`` keep everything. Rows that are equal in all columns count as two texts, and all copies of a string go, so there are no ties to break. Very long texts are read whole. An empty table gives an empty result;
+    input columns stay inside ``row``, so their names cannot clash.
     """
     rows = apart(docs, text_col)
     rows = rows.withColumn("r", F.xxhash64("row", "text"))

@@ -230,7 +230,7 @@ def scan(
 
     Null or empty texts have no words. Items without words or with a null id are left out; equal items are all reported. An empty
     benchmark hits nothing, an empty table gives an empty result. Input columns stay inside ``row``, so their
-    names cannot clash. Several rows with one id are handled each on its own.
+    names cannot clash. Several rows with one id are handled each on its own. Very long texts are streamed whole; no result depends on an order, so there are no ties.
     """
     spark = docs.sparkSession
     found = apart(docs, text_col)
@@ -252,7 +252,10 @@ def contaminated(coverage_inverse: int = 20) -> Column:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, *, longest: int | None = None, **options) -> DataFrame:
-    """``docs`` without contaminated rows; with ``longest``, hit spans of that many words or more are also cut from the other texts."""
+    """``docs`` without contaminated rows; with ``longest``, hit spans of that many words or more are also cut from the other texts.
+
+    Null and empty texts are clean and stay; repeated rows stay or go alike; all columns stay as they are. An empty table gives an empty one.
+    """
     found = scan(docs, benchmark, **options).filter(~contaminated())
     if longest is not None:
         kept = found.select("row", "text", F.filter("hits", lambda x: x["stop"] - x["start"] >= longest).alias("hits"))

@@ -98,7 +98,11 @@ def _gatherer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, text_col: str = "text", lang_col: str = "lang") -> Filters:
-    """Filters for the languages of ``docs``, from about ``sample_docs`` of each one's texts (drawn by a hash) and every n-gram they use twice or more."""
+    """Filters for the languages of ``docs``, from about ``sample_docs`` of each one's texts (drawn by a hash) and every n-gram they use twice or more.
+
+    Rows without text or language teach nothing, an empty text has no n-grams, repeated rows are drawn alike and count each. Texts are read whole, however long. Languages with equally many texts
+    are ranked by name. An empty table gives filters of no language. Other columns are not read.
+    """
     known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
@@ -140,7 +144,8 @@ def identify(docs: DataFrame, filters: Filters, *, text_col: str = "text", keep_
     """Rows (row, lang_pred, score, coverage[, text]) for every row of ``docs``: the input row without its text as a struct, the language, and two figures from 0 to 1.
 
     ``score`` is the best language's count over its own and the runner-up's; ``coverage`` is the share of the text's n-grams that
-    the best language has. Null texts, texts without a letter, and all texts if no language was learned, are ``und`` with score 0.
+    the best language has. Equal counts go to the language with more texts in the fit. Very long texts are read whole; repeated rows get equal results; input columns stay inside ``row``, so their names
+    cannot clash; an empty table gives an empty result. Null texts, texts without a letter, and all texts if no language was learned, are ``und`` with score 0.
     """
     rows = apart(docs, text_col)
     shape = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("coverage"), *(["text"] if keep_text else [])).schema

@@ -136,7 +136,7 @@ def judge(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """Rows (row, statistics, votes, base_failed, posterior, kept): the input row without its text as a struct and the verdict on it.
 
     A null or empty text has no words and fails the base. An empty table gives an empty result. Input columns stay inside
-    ``row``. Equal rows are judged, and counted, each on its own.
+    ``row``, so their names cannot clash. Equal rows are judged, and counted, each on its own, and alike. Very long texts are measured whole. A posterior of one half is kept.
     """
     spark = docs.sparkSession
     rows = apart(docs, text_col)

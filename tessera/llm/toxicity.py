@@ -277,7 +277,8 @@ def score(
 
     ``fold`` (over the input columns) is null for rows not to learn from, 1 for those that set the score curve, 0 for other rows to learn from; the final counts
     are of both. Labels other than 0 and 1, labelled ids without a document and null texts teach nothing; repeated labels count each time.
-    Texts without words score as a text without evidence. Without labels of both classes every score is the share of label 1 (0 without labels).
+    Null and empty texts, and those without words, score as a text without evidence. Without labels of both classes every score is the share of label 1 (0 without labels).
+    Very long texts are read whole; equal texts score alike, repeated rows have a row each; input columns stay inside ``row``, so their names cannot clash; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))

@@ -147,6 +147,16 @@ def test_bwt_dedup(spark, length, batch_bytes):
     assert all(r["text"] is None for r in got if r["row"]["n_chars"] is None)
 
 
+def test_repeats_far_apart_in_a_long_text(spark):
+    letters = np.random.Generator(np.random.PCG64(5)).integers(97, 123, 3_000_000).astype(np.uint8).tobytes().decode()
+    passage = "#" + "".join(chr(97 + i * i % 26) + str(i) for i in range(100)) + "#"
+    long = letters[:1000] + passage + letters[1000:2_900_000] + passage + letters[2_900_000:]
+    got = {r["row"]["doc_id"]: r for r in bwt_dedup.dedup(spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string")).collect()}
+    assert len(passage) >= 200 and (got[1]["n_bytes"], got[1]["n_spans"], got[2]["n_removed"]) == (len(long), 2, 0)
+    # letters next to the two copies may be equal by chance
+    assert 2 * len(passage) <= got[1]["n_removed"] <= 2 * len(passage) + 8
+
+
 def test_interval_expansion_against_counting():
     rng = random.Random(1)
     for trial in range(60):
@@ -444,6 +454,29 @@ def test_language(spark):
     assert len(nothing) == awkward.count() and {r["lang_pred"] for r in nothing} == {"und"}
 
 
+def test_language_against_exact_sets(spark):
+    def grams(text):
+        b = "".join(chr(c) for c in text.encode())
+        b = " " + "".join(x.lower() if "A" <= x <= "Z" else x if "a" <= x <= "z" or x >= "\x80" else " " for x in b) + " "
+        return [b[i : i + 4] for i in range(len(b) - 3)]
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in docs}
+    taught = [r for r in docs if r["lang"] is not None and r["text"] is not None and not held[r["doc_id"]]]
+    sizes = Counter(r["lang"] for r in taught)
+    assert max(sizes.values()) <= langid.SAMPLE_DOCS
+    seen = {lang: Counter(g for r in taught if r["lang"] == lang for g in grams(r["text"])) for lang in sizes}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.op3_langid(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        if any(c.isalpha() for c in r["text"] or ""):
+            known = {lang: sum(own[g] >= 2 for g in grams(r["text"])) for lang, own in seen.items()}
+            # filters err by chance: what they choose has as good as the most n-grams
+            assert known[got[r["doc_id"]]] >= max(known.values()) - 1 - 0.01 * sum(known.values())
+        else:
+            assert got[r["doc_id"]] == "und"
+
+
 def test_bloom_filters_return_every_language():
     rng = np.random.Generator(np.random.PCG64(3))
     members = [rng.integers(0, 2**32, 500).astype(np.uint64) for _ in range(11)]

@@ -157,6 +157,56 @@ def test_tool_calls(spark):
     assert toolcalls.link(frame.limit(0)).count() == 0
 
 
+def test_tool_calls_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for c in range(60):
+        for t in range(rng.randint(1, 12)):
+            ids = [rng.choice("abcdef") for _ in range(rng.randint(1, 2))]
+            if rng.random() < 0.5:
+                text = json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": {"x": {"$ref": rng.choice("abcdef")}} if rng.random() < 0.4 else {}} for i in ids]})
+            else:
+                text = json.dumps({"tool_call_id": ids[0], "content": t})
+            rows.append((c, t, "any", text))
+    got = {(r["conv_id"], r["turn"]): r for r in toolcalls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect()}
+    assert len(got) == len(rows)
+    for c in {r[0] for r in rows}:
+        turns = {t: json.loads(x) for k, t, _, x in rows if k == c}
+        called, answered = {}, {}
+        for t in sorted(turns):
+            for call in turns[t].get("tool_calls", ()):
+                called.setdefault(call["id"], t)
+            if "tool_call_id" in turns[t]:
+                answered.setdefault(turns[t]["tool_call_id"], t)
+        want, edges = {t: set() for t in turns}, set()
+        for t, body in turns.items():
+            for call in body.get("tool_calls", ()):
+                if call["id"] not in answered:
+                    want[called[call["id"]]].add(f"{call['id']}: no result")
+                if called[call["id"]] < t:
+                    want[t].add(f"{call['id']}: used before")
+                ref = call["arguments"].get("x", {}).get("$ref")
+                if ref in called and ref in answered:
+                    edges.add((answered[ref], t))
+            i = body.get("tool_call_id")
+            if i is not None and i not in called:
+                want[t].add(f"{i}: no call")
+            elif i is not None:
+                edges.add((called[i], t))
+        before = {t: {a for a, b in edges if b == t} for t in turns}
+        for _ in turns:
+            before = {t: s.union(*(before[a] for a in s)) for t, s in before.items()}
+        behind = {t for t in turns if any(a in before[a] for a in before[t])}
+        for t in behind:
+            want[t].add("references in a cycle")
+        assert {t: set(got[c, t]["problems"]) for t in turns} == want
+        seq = {t: got[c, t]["seq"] for t in turns}
+        assert sorted(seq.values()) == list(range(len(turns)))
+        assert all(seq[a] < seq[b] for a, b in edges if b not in behind)
+        if all(a < b for a, b in edges):
+            assert sorted(turns, key=seq.get) == sorted(turns)
+
+
 def test_oracles(spark):
     duck = duckdb.connect()
     for name in os.listdir(SF):
@@ -197,11 +247,14 @@ def test_stages_take_awkward_tables(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = [r[:5] for r in cases.documents(n=20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for frame in (docs, docs.limit(0)):
+    for frame, stages in ((docs, corpus_pipeline.STAGES[1:]), (docs, corpus_pipeline.STAGES), (docs.limit(0), corpus_pipeline.STAGES)):
         now = frame
-        for _, stage in corpus_pipeline.STAGES[1:]:
+        for _, stage in stages:
             now = durable.settle(stage(spark, now, SF), "awkward")
         assert now.count() <= frame.count()
+    extra = docs.withColumn("score", F.lit(1)).withColumn("row", F.lit("clash"))
+    kept = corpus_pipeline.language(spark, extra, SF)
+    assert kept.columns == extra.columns and all(any(c.isalpha() for c in r["text"] or "") for r in kept.collect())
     assert {r["doc_id"] for r in jaccard_join.keep_one(docs).collect()} <= {r[0] for r in rows}
     assert bwt_dedup.dedup(docs).count() == len(rows)
     assert decontam.remove(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).columns == docs.columns
