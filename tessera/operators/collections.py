@@ -337,8 +337,14 @@ def sort_errors(elements: DataFrame) -> DataFrame:
 
 def sort_store(lists: DataFrame, found: DataFrame, name: Column) -> DataFrame:
     """``lists`` (key, pos, elem) with the elements of ``sort_elements`` (key, place, elem) stored under ``name``, an expression over its key; what was there goes, and an empty result leaves nothing."""
-    stored = found.select(name.alias("key"), F.col("place").alias("pos"), "elem")
-    return list_renumber(lists.join(stored.select("key").distinct(), "key", "left_anti").select("key", "pos", "elem").union(stored))
+    from tessera.operators.keys import dealt
+
+    stored = found.select(name.alias("key"), F.col("place").alias("pos"), "elem", F.lit(1).alias("_new"))
+    (rows,) = dealt(lists.select("key", "pos", "elem", F.lit(0).alias("_new")).union(stored))
+    # stored elements come first, and only where there are none do old ones stay
+    order = W.partitionBy("key").orderBy(F.col("_new").desc(), "pos")
+    rows = rows.select("key", (F.row_number().over(order) - 1).cast("long").alias("pos"), "elem", "_new", F.first("_new").over(order).alias("_top"))
+    return rows.filter("_new = _top").select("key", "pos", "elem")
 
 
 def sort_elements(

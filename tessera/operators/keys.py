@@ -15,6 +15,23 @@ from tessera.functions import scalars
 CLOCK = 1 << 24
 
 
+#: Bytes of the files read for each partition that rows are dealt to.
+SHARE = 1 << 20
+#: Sizes from here on stand for rows whose size the planner does not know.
+UNKNOWN = 1 << 60
+
+
+def dealt(*tables: DataFrame, by: str = "key") -> tuple[DataFrame, ...]:
+    """The tables dealt by a column, all alike, to partitions whose number follows the size of what they are read from: a task's sorts and hash tables then hold as much however large the tables are."""
+    spark, sizes = tables[0].sparkSession, []
+    for rows in tables:
+        leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes += [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = [x for x in sizes if x < UNKNOWN]
+    n = max(sum(known) // SHARE + 1, int(spark.conf.get("spark.sql.shuffle.partitions")) if len(known) < len(sizes) else 1)
+    return tuple(rows.repartition(n, by) for rows in tables)
+
+
 def live(k: DataFrame, now_ms: int) -> DataFrame:
     return k.filter(F.col("expire_at_ms").isNull() | (F.col("expire_at_ms") > now_ms))
 

@@ -516,7 +516,8 @@ def stream_seek_back_ge(spark, d):
 
 
 def _elements(spark, d):
-    return X.table(spark, d, "lineitem").select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("key"), F.col("l_partkey").cast("string").alias("elem")).distinct()
+    rows = X.table(spark, d, "lineitem").select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("key"), F.col("l_partkey").cast("string").alias("elem"))
+    return keys.dealt(rows)[0].distinct()
 
 
 _E = "e AS (SELECT DISTINCT 'order:' || l_orderkey AS key, l_partkey::VARCHAR AS elem FROM lineitem)"

@@ -308,3 +308,19 @@ def test_sort_of_words_fails_and_settings_have_their_names(spark):
     assert keys.object_help()[0] == "ENCODING <key>" and scalars.shard_of("foo", 16384) == 12182 and scalars.shard_of("{bar}x", 16384) == 5061
     with pytest.raises(ValueError):
         keys.object_freq(rows, "allkeys-lru")
+
+
+def _partitions(frame):
+    """Tasks of the last step, as adaptive execution leaves them."""
+    return frame.rdd.getNumPartitions()
+
+
+def test_sort_store_deals_rows_by_the_size_of_the_table(spark, monkeypatch):
+    from tessera.plans import catalogue
+
+    monkeypatch.setattr(keys, "SHARE", 4000)
+    assert _partitions(catalogue.queries()["sort_store"](spark, "/root/testdata/sf0.001")) >= 20
+    lists = spark.createDataFrame([("a", 3, "x"), ("a", 7, "y"), ("s:b", 0, "old"), ("s:b", 1, "older")], "key string, pos long, elem string")
+    found = C.sort_elements(spark.createDataFrame([("b", "3"), ("b", "1"), ("b", "2")], "key string, elem string"), offset=1)
+    got = C.sort_store(lists, found, F.concat(F.lit("s:"), F.col("key")))
+    assert sorted(map(tuple, got.collect())) == [("a", 0, "x"), ("a", 1, "y"), ("s:b", 0, "2"), ("s:b", 1, "3")]
