@@ -202,8 +202,8 @@ def restore_into(k: DataFrame, payloads: DataFrame, now_ms: int, *, replace: boo
         raise ValueError("Invalid FREQ value, must be >= 0 and <= 255")
     if idle_s is not None and idle_s < 0:
         raise ValueError("Invalid IDLETIME value, must be >= 0")
-    rows = restore(payloads, now_ms, absolute=absolute)
-    here = keys.live(k, now_ms)
+    # both by key and alike, so what follows needs no other exchange
+    rows, here = keys.dealt(restore(payloads, now_ms, absolute=absolute), keys.live(k, now_ms))
     mine = here.filter(F.col("db") == db).select("key", F.lit(True).alias("busy"))
     rows = rows.join(mine, "key", "left")
     good = F.col("error").isNull() | F.col("error").contains("payload")
@@ -214,6 +214,6 @@ def restore_into(k: DataFrame, payloads: DataFrame, now_ms: int, *, replace: boo
     access = now_ms if idle_s is None else now_ms - idle_s * 1000
     put = keys.latest(rows.filter("error IS NULL"), "key")
     fresh = {"db": F.lit(db), "key": F.col("key"), "type": F.lit("string"), "val": F.col("val"), "expire_at_ms": F.col("expire_at_ms"), "access_ms": F.lit(access).cast("long"), "freq": F.lit(5 if freq is None else freq)}
-    gone = put.select(F.lit(db).alias("db"), "key")
     new = put.filter(F.col("expire_at_ms").isNull() | (F.col("expire_at_ms") > now_ms)).select(*(fresh[c].alias(c) for c in k.columns))
-    return here.join(gone, ["db", "key"], "left_anti").select(*k.columns).union(new), rows.select("ordinal", "key", "error")
+    kept = here.filter(F.col("db") == db).join(put.select("key"), "key", "left_anti").select(*k.columns)
+    return kept.union(here.filter(F.col("db").isNull() | (F.col("db") != db)).select(*k.columns)).union(new), rows.select("ordinal", "key", "error")

@@ -324,3 +324,10 @@ def test_sort_store_deals_rows_by_the_size_of_the_table(spark, monkeypatch):
     found = C.sort_elements(spark.createDataFrame([("b", "3"), ("b", "1"), ("b", "2")], "key string, elem string"), offset=1)
     got = C.sort_store(lists, found, F.concat(F.lit("s:"), F.col("key")))
     assert sorted(map(tuple, got.collect())) == [("a", 0, "x"), ("a", 1, "y"), ("s:b", 0, "2"), ("s:b", 1, "3")]
+
+
+def test_restore_deals_rows_by_the_size_of_the_tables(spark, monkeypatch):
+    from tessera.plans import catalogue
+
+    monkeypatch.setattr(keys, "SHARE", 1500)
+    assert _partitions(catalogue.queries()["restore_where_free"](spark, "/root/testdata/sf0.001")) >= 40
