@@ -331,3 +331,21 @@ def test_restore_deals_rows_by_the_size_of_the_tables(spark, monkeypatch):
 
     monkeypatch.setattr(keys, "SHARE", 1500)
     assert _partitions(catalogue.queries()["restore_where_free"](spark, "/root/testdata/sf0.001")) >= 40
+
+
+def test_lzf_takes_long_repeats_and_long_texts_in_blocks(monkeypatch):
+    from tessera.functions import codecs
+
+    rng = random.Random(4)
+    texts = [b"", b"a", b"ab", b"abc", b"a" * 1000, b"ab" * 700, bytes(rng.randrange(256) for _ in range(3000)), b"".join(rng.choice((b"the ", b"and ", b"of ", b"x")) for _ in range(20_000))]
+    sizes = [len(codecs.lzf_compress(t)) for t in texts]
+    assert sizes[4] < 30 and sizes[7] < len(texts[7]) // 2
+    for block in (codecs.LZF_BLOCK, 7, 100):
+        monkeypatch.setattr(codecs, "LZF_BLOCK", block)
+        for t in texts:
+            packed = codecs.lzf_compress(t)
+            assert codecs.lzf_decompress(packed) == t and len(packed) <= len(t) * 33 // 32 + 2
+    # references that reach into what they write, and as far back as they can
+    assert codecs.lzf_decompress(b"\x00a\xe0\xff\x00") == b"a" * 265
+    far = bytes(rng.randrange(256) for _ in range(8192))
+    assert codecs.lzf_decompress(codecs.lzf_compress(far + far[:50])) == far + far[:50]
