@@ -227,6 +227,13 @@ def test_every_copy_of_a_passage_is_found(spark):
     assert got == [(1, 0, 60, 110, 60, 110), (1, 0, 170, 220, 60, 110), (2, 2, 170, 220, 60, 110)]
 
 
+def test_matches_of_one_pair_become_one_row():
+    met = chaining._met(*(tuple(map(np.array, rows)) for rows in (([9, 9, 9], [0, 0, 0], [5, 5, 5], [30, 35, 30]), ([2, 2, 2], [0, 0, 0], [7, 7, 7], [32, 37, 33]))))
+    merged = chaining._merged([met])
+    assert len(merged[0]) == 2
+    assert sorted(chaining.stepped(*merged[3:]).tolist()) == sorted(a << 32 | b for a, b in ((5, 7), (30, 32), (35, 37), (30, 33)))
+
+
 def test_passages_whose_parts_stand_in_earlier_documents(spark):
     """Every sentence of a passage has two earlier documents of its own; the two documents that share the passage must meet all the same, for each of its copies."""
     rng = random.Random(11)
