@@ -116,6 +116,51 @@ def read_turn(role: str | None, text: str | None, schemas: dict[str, dict] | Non
         return canonical({"role": role, "content": text}), [], None, [], ["nested too deeply"]
 
 
+def offered(text: str | None) -> list[tuple[str, str]]:
+    """(name, schema as JSON) of the tools that a turn declares: ``tools``, objects with ``name`` and ``parameters``, or these two inside ``function``."""
+    if text is None or '"tools"' not in text or text.lstrip()[:1] != "{":
+        return []
+    try:
+        tools = json.loads(text).get("tools")
+        tools = [t.get("function") if isinstance(t.get("function"), dict) else t for t in tools if isinstance(t, dict)] if isinstance(tools, list) else []
+        return [(t["name"], canonical(t["parameters"] if isinstance(t.get("parameters"), dict) else {})) for t in tools if isinstance(t.get("name"), str)]
+    except (ValueError, RecursionError):
+        return []
+
+
+def _declarations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (conv_id, turn, text): (conv_id, turn, name, schema)."""
+    for batch in batches:
+        found = [(i, *tool) for i, text in enumerate(batch.column(2).to_pylist()) for tool in offered(text)]
+        row, names, schemas = zip(*found, strict=True) if found else ((), (), ())
+        at = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(names, pa.string()), pa.array(schemas, pa.string())], ["conv_id", "turn", "name", "schema"])
+
+
+def _against(message: str, turn: int, tools: list[dict]) -> list[str]:
+    """Problems of a turn's calls by the schemas that its conversation declared up to it; the last one of a name counts."""
+    schemas = {t["name"]: t["schema"] for t in sorted(tools, key=lambda t: (t["turn"], t["schema"])) if t["turn"] <= turn}
+    problems = []
+    for call in json.loads(message)["tool_calls"]:
+        name, own = call["name"], call["id"]
+        if not isinstance(name, str) or name not in schemas:
+            problems.append(f"{own}: unknown tool {name}")
+        elif not isinstance(call["arguments"], str):
+            try:
+                problems += [f"{own}: {v}" for v in violations(call["arguments"], json.loads(schemas[name]))]
+            except (TypeError, AttributeError, ValueError, OverflowError, RecursionError):
+                problems.append(f"{own}: schema of {name} cannot be read")
+    return problems
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (conv_id, turn, message, tools): (conv_id, turn, what)."""
+    for batch in batches:
+        found = [(i, what) for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 1, 3)), strict=True)) for what in _against(*row)]
+        at = pa.array([i for i, _ in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([w for _, w in found], pa.string())], ["conv_id", "turn", "what"])
+
+
 def _turn_reader(schemas: dict | None):
     lists = pa.list_(pa.string())
 
@@ -159,7 +204,7 @@ def link(conversations: DataFrame, schemas: dict[str, dict] | None = None, *, co
     """Rows (conv_id, turn, role, seq, message, problems), one for each turn.
 
     ``seq`` numbers a conversation's turns in their order from 0 (equal turn numbers by message); ``message`` is canonical JSON; ``problems`` says what is wrong: calls without a
-    result, results without a call, identifiers that several calls use (the first turn counts), arguments against their schema (if ``schemas`` are given), references in a cycle (those
+    result, results without a call, identifiers that several calls use (the first turn counts), arguments against their schema (those given, or else those that the conversation's own turns declared before or in the call's turn; without any, none), references in a cycle (those
     turns keep their places). Texts that are not such JSON are plain messages; null texts have null content. Turns without a conversation id or number are plain, too. An empty table gives an
     empty result. Other columns are not read, so their names cannot clash. Very long texts are parsed whole, one turn at a time; JSON nested too deeply to parse is a plain message. Repeated rows have a row each.
     """
@@ -187,7 +232,13 @@ def link(conversations: DataFrame, schemas: dict[str, dict] | None = None, *, co
     orphans = answers.join(linked.filter("call_turn IS NULL").select("conv_id", "id"), ["conv_id", "id"], "left_semi").select("conv_id", "turn", F.concat("id", F.lit(": no call")).alias("what"))
     reused = each.join(linked.filter("uses > 1"), ["conv_id", "id"]).filter("turn > call_turn").select("conv_id", "turn", F.concat("id", F.lit(": used before")).alias("what"))
     cyclic = placed.filter("cyclic").select(F.col("c").alias("conv_id"), F.col("t").alias("turn"), F.lit("references in a cycle").alias("what"))
-    more = missing.union(orphans).union(reused).union(cyclic).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set("what")).alias("more")).withColumnsRenamed({"conv_id": "mc", "turn": "mt"})
+    said = missing.union(orphans).union(reused).union(cyclic)
+    if schemas is None:
+        tools = rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "text").mapInArrow(_declarations, f"conv_id {kind}, turn long, name string, schema string")
+        tools = tools.groupBy(F.col("conv_id").alias("tc")).agg(F.collect_set(F.struct("turn", "name", "schema")).alias("tools"))
+        own = known.filter('message LIKE \'%"tool_calls":[%\' AND (size(calls) > 0 OR size(problems) > 0)').join(tools, F.col("conv_id") == F.col("tc"))
+        said = said.union(own.select("conv_id", "turn", "message", "tools").mapInArrow(_judged, f"conv_id {kind}, turn long, what string"))
+    more = said.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set("what")).alias("more")).withColumnsRenamed({"conv_id": "mc", "turn": "mt"})
 
     found = turns.join(more, (F.col("conv_id") == F.col("mc")) & (F.col("turn") == F.col("mt")), "left").join(placed, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left")
     by_place = W.partitionBy("conv_id").orderBy(F.coalesce("at", "turn"), F.coalesce("rank", F.lit(0)), "turn", "message")

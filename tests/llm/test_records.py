@@ -157,6 +157,21 @@ def test_tool_calls(spark):
     assert toolcalls.link(frame.limit(0)).count() == 0
 
 
+def test_query_validates_by_declared_tools(spark, tmp_path):
+    tools = json.dumps({"tools": [{"type": "function", "function": {"name": "add", "parameters": SCHEMAS["add"]}}]})
+    rows = [(1, 0, "system", tools), (1, 1, "assistant", json.dumps({"tool_calls": [call("m", a=-1), {"id": "u", "name": "other"}]})), (2, 0, "assistant", json.dumps({"tool_calls": [call("m", a=-1)]}))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r["problems"] for r in toolcalls.op8_toolcalls(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): "", (1, 1): "m: /a: out of range; m: no result; u: no result; u: unknown tool other", (2, 0): "m: no result"}
+
+
+def test_declared_schemas_that_cannot_be_read():
+    message = json.dumps({"tool_calls": [call("m", a=1)]})
+    for schema in ({"type": 5}, {"enum": 1}, {"required": 3}, {"properties": {"a": 1}}):
+        assert toolcalls._against(message, 1, [{"turn": 0, "name": "add", "schema": json.dumps(schema)}]) == ["m: schema of add cannot be read"]
+    assert toolcalls.offered('{"tools": [1, {"name": "f"}]}') == [("f", "{}")] and toolcalls.offered('{"tools": 3}') == toolcalls.offered(None) == []
+
+
 def test_tool_calls_against_brute_force(spark):
     rng = random.Random(8)
     rows = []
