@@ -314,6 +314,42 @@ def test_edited_passages_whose_every_seed_is_led_by_others(spark, monkeypatch):
     assert found[0] == found[1]
 
 
+def test_keys_of_a_group_grow_with_its_rows(monkeypatch):
+    """Rows under one key meet its first and the first with their inner seed, however they are cut into batches; the reference has all pairs with these."""
+    rng = random.Random(21)
+    rows = sorted((key, i, 0, 5, 30, rng.randint(0, 3)) for key, n in ((1, 200), (2, 1), (3, 2), (4, 57)) for i in rng.sample(range(1000), n))
+    want = set()
+    for x in rows:
+        for same in ([y for y in rows if y[0] == x[0]], [y for y in rows if (y[0], y[5]) == (x[0], x[5])]):
+            if same[0][1] < x[1]:
+                want.add((x[1], same[0][1]))
+    names = ["key", "id", "rq", "a0", "a1", "inner"]
+    for size, paired in ((1000, 20_000), (7, 20_000), (50, 8)):
+        monkeypatch.setattr(chaining, "PAIRED", paired)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size])], names) for i in range(0, len(rows), size)]
+        out = [r for batch in chaining._meet(iter(batches)) for r in batch.to_pylist()]
+        met = [(r["id"], r["ref"]) for r in out if r["ref"] is not None]
+        assert set(met) == want and len(met) <= 2 * len(rows)
+        handed = {(r["steps"], r["id"]) for r in out if r["ref"] is None}
+        assert {(k, i) for k, i, *_ in rows if k in (1, 4)} - handed == {(1, min(r[1] for r in rows if r[0] == 1)), (4, min(r[1] for r in rows if r[0] == 4))}
+
+
+def test_edited_copies_meet_their_leaders_and_not_each_other(spark):
+    """Rows grow with a group of edited copies, not with its square, and join all of it."""
+    rng = random.Random(22)
+    base, sizes = cases.words(rng, 150, 90_000).split(), []
+    edits = [[(p, f"e{p}x{rng.randint(0, 2)}") for p in range(rng.randint(0, 11), 150, 12)] for _ in range(80)]
+    texts = [" ".join(dict(e).get(i, w) for i, w in enumerate(base)) for e in edits]
+    for n in (40, 80):
+        rows = passage_pairs(spark, texts[:n])
+        joined = {0}
+        for r in sorted(rows, key=lambda r: r["doc_id"]):
+            joined |= {r["doc_id"]} if r["ref_doc_id"] in joined else set()
+        assert joined == set(range(n))
+        sizes.append(len(rows))
+    assert sizes[1] < 3 * sizes[0]
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(100):
