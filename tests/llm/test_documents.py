@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import blocks, bwt_dedup, chaining, decontam, graph, jaccard_join, langid, mixing, quality, textkit, toxicity
+from tessera.llm import blocks, bwt_dedup, chaining, decontam, graph, jaccard_join, langid, mixing, packs, quality, textkit, toxicity
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.001"
@@ -350,6 +350,119 @@ def test_edited_copies_meet_their_leaders_and_not_each_other(spark):
     assert sizes[1] < 3 * sizes[0]
 
 
+def common_line(n: int, seed: int = 23):
+    """Texts that hold one line of 30 words; every two of them, the line edited in one, go on alike for 20 words."""
+    rng = random.Random(seed)
+    line, texts = cases.words(rng, 30, 90_000).split(), []
+    for i in range(n):
+        tail = cases.words(rng, 20, 90_000)
+        for edit in (None, rng.randint(8, 22)):
+            own = [w if j != edit else f"e{i}" for j, w in enumerate(line)]
+            texts.append(" ".join([cases.words(rng, 45, 90_000), *own, tail, cases.words(rng, 45, 90_000)]))
+    return texts
+
+
+def test_pairs_of_the_third_round_grow_with_the_group(spark, monkeypatch):
+    """Of texts that share a line too short for a passage those meet that share more with it, in groups of any size."""
+    monkeypatch.setattr(chaining, "FEW", 8)
+    given, met = chaining._rest_matches, []
+
+    def counted(*args):
+        pairs, tables = given(*args)
+        met.append((pairs.select("id", "ref").distinct().count(), tables[0].count()))
+        return pairs, tables
+
+    monkeypatch.setattr(chaining, "_rest_matches", counted)
+    for n in (30, 60):
+        pairs = {(r["doc_id"], r["ref_doc_id"]) for r in passage_pairs(spark, common_line(n))}
+        assert pairs == {(2 * i + 1, 2 * i) for i in range(n)}
+    assert met[1][0] < 3 * met[0][0]
+
+
+def test_few_rows_meet_all_and_many_are_handed_on(monkeypatch):
+    monkeypatch.setattr(chaining, "FEW", 5)
+    rng = random.Random(24)
+    sizes = {1: 3, 2: 12, 3: 5, 4: 1, 5: 6, 6: 40, 7: 2, 8: 5}
+    rows = sorted((key, i, rng.randint(0, 1), 5 << 32 | 30) for key, n in sizes.items() for i in rng.sample(range(1000), n))
+    names = ["key", "id", "rq", "ab"]
+    few = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and sizes[x[0]] <= 5 and x[1] > y[1] and x[2] + y[2]}
+    firsts = {key: min(r for r in rows if r[0] == key) for key in sizes}
+    first = {(x[1], y[1]) for x in rows for y in [firsts[x[0]]] if sizes[x[0]] > 5 and x[1] > y[1] and x[2] + y[2]}
+    for size, paired in ((1000, 20_000), (7, 20_000), (50, 3), (1, 1)):
+        monkeypatch.setattr(chaining, "PAIRED", paired)
+        for last in (False, True):
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size])], names) for i in range(0, len(rows), size)]
+            out = [r for batch in chaining._meet_few(last)(iter(batches)) for r in batch.to_pylist()]
+            assert {(r["id"], r["ref"]) for r in out if r["ref"] is not None} == few | (first if last else set())
+            handed = sorted((r["steps"], r["id"], r["rq"], r["ab"]) for r in out if r["ref"] is None)
+            assert handed == ([] if last else [r for r in rows if sizes[r[0]] > 5])
+
+
+def test_crowded_keys_are_dealt_by_ranges_with_equal_results(spark, monkeypatch):
+    texts = common_line(12)
+    found = []
+    for crowded, mean in ((chaining.CROWDED, packs.MEAN), (0, 500), (100, 2000)):
+        monkeypatch.setattr(chaining, "CROWDED", crowded)
+        monkeypatch.setattr(packs, "MEAN", mean)
+        found.append(Counter(map(tuple, passage_pairs(spark, texts))))
+    assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_rows_in_blocks(monkeypatch):
+    monkeypatch.setattr(packs, "GATHERED", 40)
+    rng = np.random.Generator(np.random.PCG64(3))
+    columns = [rng.integers(-(2**63), 2**63, 500) for _ in range(3)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 30]) for c in columns], ["a", "b", "c"]) for i in range(0, 500, 30)]
+    for bits in (0, 4):
+        rows = [r for batch in packs.packing(lambda x: x, lambda c: packs.high_bits(c[0], bits))(iter(batches)) for r in batch.to_pylist()]  # noqa: B023
+        rows.sort(key=lambda r: r["bucket"])
+        sorted_batches = [pa.RecordBatch.from_arrays([pa.array([r["bucket"] for r in part], pa.int64()), pa.array([r["rows"] for r in part], pa.binary())], ["bucket", "rows"]) for part in (rows[:7], rows[7:])]
+        for least in (0, 100):
+            got = list(packs.buckets(iter(sorted_batches), 3, least))
+            assert Counter(r for part in got for r in zip(*(c.tolist() for c in part))) == Counter(zip(*(c.tolist() for c in columns)))
+            names = [set(packs.high_bits(part[0], bits).tolist()) for part in got]
+            assert sum(map(len, names)) == len(set().union(*names)) == (16 if bits else 1)
+
+
+def test_stretches_are_scored_together_as_by_trees(monkeypatch):
+    rng = random.Random(25)
+    for dense in (chaining.DENSE, 6):
+        monkeypatch.setattr(chaining, "DENSE", dense)
+        a, b, starts, want = [], [], [], []
+        for n in [rng.randint(1, 60) for _ in range(150)] + [400]:
+            matches = [(rng.randint(0, 2 * n), rng.randint(0, 2 * n)) for _ in range(rng.randint(1, 1 + n))]
+            for _ in range(3):
+                x, y = rng.randint(0, 2 * n), rng.randint(0, 2 * n)
+                matches += [(x + i, y + i) for i in range(n) if rng.random() < 0.5]
+            matches = sorted(set(matches))
+            score, back = chaining._scored_by_trees(matches, chaining.K, chaining.GAP_COST, chaining.MAX_GAP)
+            want += list(zip(score, [-1 if j < 0 else j + len(a) for j in back]))
+            starts.append(len(a))
+            a += [m[0] for m in matches]
+            b += [m[1] for m in matches]
+        got = chaining._scored_together(np.array(a), np.array(b), np.array(starts), np.array([*starts[1:], len(a)]), chaining.K, chaining.GAP_COST, chaining.MAX_GAP)
+        assert list(zip(got[0].tolist(), got[1].tolist())) == want
+
+
+def test_hashes_of_windows_are_sums_of_their_words():
+    rng = np.random.Generator(np.random.PCG64(5))
+    words = rng.integers(0, 2**64, 200, dtype=np.uint64)
+    first = np.array([0, 3, 3, 60, 200])
+    for k in (1, 4, 40):
+        grams, ok = textkit.windows(words, first, k)
+        for i in range(200):
+            end = int(first[np.searchsorted(first, i, "right")])
+            assert ok[i] == (i + k <= end)
+            if ok[i]:
+                total = 0
+                for w in words[i : i + k].tolist():
+                    total = (total * 0xD6E8FEB86659FD93 + w) % 2**64
+                assert grams[i] == textkit.mixed(np.array([total], np.uint64))[0]
+    hashes, at = textkit.windows(words, first, 40)[0], chaining.chosen_windows(words, first, 40, 16)[0]
+    want = {lo + int(hashes[lo : lo + 16].argmin()) for s, e in ((3, 60), (60, 200)) for lo in range(s, e - 40 - 16 + 2)}
+    assert set(at.tolist()) == want
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(100):
