@@ -382,12 +382,15 @@ def test_pairs_of_the_third_round_grow_with_the_group(spark, monkeypatch):
 def test_few_rows_meet_all_and_many_are_handed_on(monkeypatch):
     monkeypatch.setattr(chaining, "FEW", 5)
     rng = random.Random(24)
-    sizes = {1: 3, 2: 12, 3: 5, 4: 1, 5: 6, 6: 40, 7: 2, 8: 5}
+    sizes = {1: 3, 2: 12, 3: 5, 4: 1, 5: 16, 6: 40, 7: 2, 8: 5}
     rows = sorted((key, i, rng.randint(0, 1), 5 << 32 | 30) for key, n in sizes.items() for i in rng.sample(range(1000), n))
     names = ["key", "id", "rq", "ab"]
-    few = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and sizes[x[0]] <= 5 and x[1] > y[1] and x[2] + y[2]}
+    rows = [(key, i, need if key != 5 else int(i == min(r[1] for r in rows if r[0] == 5)), ab) for key, i, need, ab in rows]
+    large = {key for key, n in sizes.items() if n * max(1, sum(r[2] for r in rows if r[0] == key)) > 25}
+    assert large == {2, 6}
+    few = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[0] not in large and x[1] > y[1] and x[2] + y[2]}
     firsts = {key: min(r for r in rows if r[0] == key) for key in sizes}
-    first = {(x[1], y[1]) for x in rows for y in [firsts[x[0]]] if sizes[x[0]] > 5 and x[1] > y[1] and x[2] + y[2]}
+    first = {(x[1], y[1]) for x in rows for y in [firsts[x[0]]] if x[0] in large and x[1] > y[1] and x[2] + y[2]}
     for size, paired in ((1000, 20_000), (7, 20_000), (50, 3), (1, 1)):
         monkeypatch.setattr(chaining, "PAIRED", paired)
         for last in (False, True):
@@ -395,7 +398,7 @@ def test_few_rows_meet_all_and_many_are_handed_on(monkeypatch):
             out = [r for batch in chaining._meet_few(last)(iter(batches)) for r in batch.to_pylist()]
             assert {(r["id"], r["ref"]) for r in out if r["ref"] is not None} == few | (first if last else set())
             handed = sorted((r["steps"], r["id"], r["rq"], r["ab"]) for r in out if r["ref"] is None)
-            assert handed == ([] if last else [r for r in rows if sizes[r[0]] > 5])
+            assert handed == ([] if last else [r for r in rows if r[0] in large])
 
 
 def test_crowded_keys_are_dealt_by_ranges_with_equal_results(spark, monkeypatch):
